@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import exact_dedup, mixing, quality
+from lathe.llm import exact_dedup, huffman, mixing, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.query,
+        "op2_token_files": huffman.query,
+        "op3_packing": packing.query,
         "op6_exact_dedup": exact_dedup.query,
         "op10_quality": quality.query,
     }
