@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import exact_dedup, huffman, mixing, packing, quality
+from lathe.llm import exact_dedup, huffman, media, mixing, packing, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": huffman.query,
         "op3_packing": packing.query,
         "op6_exact_dedup": exact_dedup.query,
+        "op8_media": media.query,
+        "op9_warc": warc.query,
         "op10_quality": quality.query,
     }
 

@@ -81,7 +81,7 @@ class AtomicFile:
         self.fs, self.path = open_fs(uri)
         self.temp = f"{self.path}.{uuid.uuid4().hex}.part"
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
-        self.out, self.size = self.fs.open_output_stream(self.temp), 0
+        self.out, self.size = self.fs.open_output_stream(self.temp, compression=None), 0
 
     def write(self, data: bytes) -> None:
         self.out.write(data)
