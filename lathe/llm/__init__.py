@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import exact_dedup, huffman, media, mixing, packing, quality, warc
+from lathe.llm import exact_dedup, huffman, media, mixing, ngram_join, packing, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.query,
         "op2_token_files": huffman.query,
         "op3_packing": packing.query,
+        "op5_ngram_join": ngram_join.query,
         "op6_exact_dedup": exact_dedup.query,
         "op8_media": media.query,
         "op9_warc": warc.query,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL}
+    return {"op1_mixing": mixing.SQL, "op5_ngram_join": ngram_join.SQL, "op6_exact_dedup": exact_dedup.SQL}
