@@ -1,6 +1,77 @@
-STAGES = []
+"""From documents to packed training sequences: quality, exact dedup, near-dup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept. Columns that documents may have
+besides doc_id and text are carried through; a missing one of doc_id, text or source counts as null.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lathe.llm import exact_dedup, mixing, ngram_join, packing, quality
+from lathe.llm.common import materialize, table
+
+
+def kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among decisions.doc_id (null equals null)."""
+    ids = decisions.select(F.col("doc_id").cast("long").alias("__id")).distinct()
+    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (predicted 1). The label depends on the text alone, so equal ids with other texts are told apart by the score's own row."""
+    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"))
+    bad = scored.where("predicted = 0").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays: that with the largest doc_id, and of its repeated rows one."""
+    return one_each(kept(docs, exact_dedup.dedup(docs, "largest").where("kept")))
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """Of rows with equal doc_id and text one (A-Z lower-cased)."""
+    key = F.sha2(exact_dedup.lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256)
+    return docs.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
+
+
+def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest doc_id."""
+    found = ngram_join.ngram_join(docs)
+    return kept(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, in training order. A copy that the mix cuts stays whole if half or more of its words are taken; documents without words stay once."""
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    mixed = mixing.mix(docs.withColumn("source", source), carry=docs.columns)
+    each = mixed.select("row", "size", F.explode("epochs").alias("e")).where(F.col("e.words") * 2 >= F.col("size")).select(F.col("e.position").alias("position"), "row")
+    each = each.union(mixed.where("size = 0").select(F.lit(2.0).alias("position"), "row"))
+    return each.repartitionByRange("position", "row.doc_id").sortWithinPartitions("position", "row.doc_id").select("row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("exact_dedup", exact_filter),
+    ("near_dup", near_filter),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Stages with a learned classifier, differencing and a tokenizer can't be put into SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; each stage's result is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
