@@ -204,32 +204,23 @@ class Reader:
             held = held[n:]
 
 
-def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit ids of the whole text, then end_id)."""
+def token_table(docs: DataFrame, path: str, end_id: int, dtype: str = "<u4") -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned ids of the whole text, then end_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lathe.llm.tokens import encoder
 
-        for b in slices(batches, "text"):
+        width = np.dtype(dtype).itemsize
+        for b in slices(batches, "text", 4 << 20):
             ids, lengths = encoder(path).encode(b.column(1))
             ends = np.cumsum(lengths)
-            data = np.insert(ids, ends, end_id).astype("<u4")
-            offsets = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1)) * 4]).astype(np.int32)
+            data = np.insert(ids, ends, end_id).astype(dtype)
+            offsets = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1)) * width]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def narrow(rows: DataFrame, to_16: bool) -> DataFrame:
-    """Ids to half their width where the vocabulary allows it, for the scratch table and the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
-
-    return rows.mapInArrow(run, "doc_id long, ids binary") if to_16 else rows
-
-
 def global_counts(rows: DataFrame, vocab: int, dtype: str) -> np.ndarray:
     """Counts of all ids: a row an id leaves each task, at most vocab rows reach the driver."""
 
@@ -304,7 +295,7 @@ def encode_corpus(docs: DataFrame, path: str | None = None, end_id: int = 0, fol
     path = path or tokenizer_path()
     vocab = max(encoder(path).tokenizer.get_vocab_size(), end_id + 1)
     dtype = "<u2" if vocab <= 1 << 16 else "<u4"
-    rows = narrow(token_table(docs, path, end_id), dtype == "<u2")
+    rows = token_table(docs, path, end_id, dtype)
     place = scratch_path(docs.sparkSession, "ids")
     rows.write.option("compression", "zstd").parquet(place)
     rows = docs.sparkSession.read.schema(rows.schema).parquet(place)

@@ -21,7 +21,7 @@ MARK = "\x02"  # begins the first cut of a text, which has no space before it
 
 
 class Encoder:
-    def __init__(self, path: str, most_cuts: int = 1_000_000):
+    def __init__(self, path: str, most_cuts: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
