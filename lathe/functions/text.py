@@ -290,7 +290,7 @@ def configured(text: Column | str, config: dict) -> Column | None:
         patterns = [config["patterns"]] if isinstance(config["patterns"], str) else config["patterns"]
         cols = []
         for p in patterns:
-            group = 1 if re.compile(p).groups else 0
+            group = 1 if re.compile(re.sub(r"\\p\{\w+\}", "x", p)).groups else 0
             cols.append(F.when(F.size(find_all(text, any_case(p), group)) > 0, find_all(text, any_case(p), group)) if every else F.when(col(text).rlike(any_case(p)), F.regexp_extract(col(text), any_case(p), group)))
         return F.coalesce(*cols)
     keywords = config.get("keywords", config.get("vocabulary"))

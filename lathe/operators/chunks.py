@@ -251,6 +251,7 @@ def document_id(path: Column | str) -> Column:
 def process(docs: DataFrame, schema: Schema, strict: bool = True, tokenizer=None) -> DataFrame:
     """All chunks of documents (document_id, text), with their relationships."""
     from lathe.operators.edges import with_relationships
+    from lathe.sources.scratch import staged
 
-    one = level_one(docs, schema, strict, tokenizer)
-    return with_relationships(one.unionByName(level_two(one, schema, tokenizer)), schema)
+    one = staged(level_one(docs, schema, strict, tokenizer), "level-one")
+    return with_relationships(staged(one.unionByName(level_two(one, schema, tokenizer)), "chunks"), schema)
