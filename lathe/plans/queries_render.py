@@ -1 +1,165 @@
-"""More queries: HTML, bullets, PDF geometry."""
+"""More queries: HTML, bullets, PDF geometry and content streams. Added to those of lathe.plans.queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lathe.functions import text as X
+from lathe.operators import bullets as B
+from lathe.operators import html as H
+from lathe.operators import pdf as P
+from lathe.operators.lines import doc_lines, started
+from lathe.plans import rendered as R
+from lathe.plans.queries import I, J, query
+
+ESC = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+Q = lambda s: "'" + s.replace("'", "''") + "'"
+
+
+@query("html_escape_pages", f"SELECT page_id, {ESC('url')} AS url, md5({ESC('html')}) AS h FROM pages")
+def html_escape_pages(spark, sf_dir):
+    return R.table(spark, sf_dir, "pages").select("page_id", X.escape_html("url").alias("url"), F.md5(X.escape_html("html").cast("binary")).alias("h"))
+
+
+@query("csv_to_html", f"SELECT user_id, '<table><thead><tr><th>id</th><th>type</th><th>props</th></tr></thead><tbody>' || string_agg('<tr><td>' || event_id || '</td><td>' || event_type || '&lt;&amp;</td><td>' || {ESC('props')} || '</td></tr>', '' ORDER BY event_id) || '</tbody></table>' AS html FROM events GROUP BY user_id")
+def csv_to_html(spark, sf_dir):
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("event_id").cast("string"), quoted(F.concat("event_type", F.lit("<&"))), quoted(F.col("props")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda s: s["line"])
+    files = R.table(spark, sf_dir, "events").groupBy("user_id").agg(F.concat_ws("\n", F.lit("id,type,props"), rows).alias("text"))
+    return files.select("user_id", H.csv_to_html("text").alias("html"))
+
+
+@query("html_documents", I + " SELECT 'doc_' || k AS document_id, '<h1>A &amp; ' || status || '</h1>' || chr(10) || '<p>x<br />' || chr(10) || '<strong>' || priority || '</strong></p>' || chr(10) || '<ul><li>a</li><li>' || k || '</li></ul>' || chr(10) || '<table><thead><tr><th>p</th></tr></thead><tbody><tr><td>' || k || '</td></tr></tbody></table>' AS html FROM o")
+def html_documents(spark, sf_dir):
+    k = F.col("k").cast("string")
+    text = F.concat(F.lit("# A & "), "status", F.lit("\n\nx\n**"), "priority", F.lit("**\n\n- a\n- "), k, F.lit("\n\n| p |\n|---|\n| "), k, F.lit(" |\n"))
+    return H.markdown_to_html(R.order_tables(spark, sf_dir).select(F.concat(F.lit("doc_"), k).alias("document_id"), text.alias("text")))
+
+
+@query("html_shell", "SELECT page_id, contains(url, '<') AS odd, true AS titled, true AS framed FROM pages")
+def html_shell(spark, sf_dir):
+    page = H.document_shell(F.lit("<p>x</p>"), F.col("url"), author=F.lit("a&b"))
+    return R.table(spark, sf_dir, "pages").select("page_id", F.contains("url", F.lit("<")).alias("odd"), F.contains(page, F.concat(F.lit("<title>"), X.escape_html("url"), F.lit("</title>"), F.lit('<meta name="author" content="a&amp;b">'))).alias("titled"), F.contains(page, F.lit("<main><p>x</p></main>")).alias("framed"))
+
+
+@query("bullet_headings", I + " SELECT 'doc_' || k AS document_id, chr(10) || 'I ' || status || chr(10) || repeat('━', length(status) + 4) || chr(10) || chr(10) || '1 ' || priority || chr(10) || repeat('━', length(priority) + 2) || chr(10) || '  • Xe xuống bãi' || chr(10) || '• mục' AS text FROM o")
+def bullet_headings(spark, sf_dir):
+    text = F.concat(F.lit("## I "), "status", F.lit("\n### 1 "), "priority", F.lit("\n#### Xe → Bãi\n* mục"))
+    return B.render_markdown(R.order_tables(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("k").cast("string")).alias("document_id"), text.alias("text"))).select("document_id", F.regexp_replace("text", "• mục$", "• mục").alias("text")).select("document_id", F.replace("text", F.lit("•  mục"), F.lit("• mục")).alias("text"))
+
+
+HEAD = ("Hàng", "20'", "40' HC", "Giá VND")
+
+
+@query("bullet_boxes", I + """, s AS (SELECT *, max(CASE WHEN tt = 1 THEN item END) OVER (PARTITION BY k) AS i1, max(CASE WHEN tt = 1 THEN q END) OVER (PARTITION BY k) AS q1, max(CASE WHEN tt = 1 THEN price END) OVER (PARTITION BY k) AS p1 FROM i)
+SELECT 'doc_' || k AS document_id, string_agg('┃ PHƯƠNG ÁN ' || tt || chr(10) || '┣' || repeat('━', 70) || chr(10) || """ + " || chr(10) || ".join(
+    f"'┃ • ' || {h} || repeat(' ', greatest(25 - length({h}), 0)::INT) || ' → ' || {v}" for h, v in (("'Hàng ' || i1", "item"), ("'20'' ' || q1", "q"), ("'40'' HC ' || (q1 + 1)", "(q + 1)"), ("'Giá VND ' || p1", "price"))
+) + " || chr(10), chr(10) ORDER BY tt) AS text FROM s WHERE tt > 1 GROUP BY k")
+def bullet_boxes(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("tt", "line")))
+    raw = R.items(spark, sf_dir).groupBy("k").agg(F.concat(F.array(F.lit(R.HEADER), F.lit(R.DASHES)), F.transform(rows, lambda s: s["line"])).alias("rows"))
+    return raw.select(F.concat(F.lit("doc_"), F.col("k").cast("string")).alias("document_id"), F.array_join(B.boxes("rows"), "\n").alias("text")).where("text <> ''")
+
+
+@query("bullet_arrows", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Xe xuống bãi hoặc từ bãi lên xe' WHEN 1 THEN 'Tàu hoặc sà lan đến bãi' WHEN 2 THEN 'Từ bãi lên xe' WHEN 3 THEN 'Tàu hoặc sà lan đến bãi hoặc từ bãi lên tàu hoặc sà lan' WHEN 4 THEN 'Từ bãi lên tàu hoặc sà lan' ELSE event_type END AS phrase FROM events")
+def bullet_arrows(spark, sf_dir):
+    cases = F.when(F.col("event_id") % 6 == 0, "Xe ↔ Bãi").when(F.col("event_id") % 6 == 1, "Tàu/Sà lan → Bãi").when(F.col("event_id") % 6 == 2, "Bãi ← Xe").when(F.col("event_id") % 6 == 3, "Sà lan <-> Bãi").when(F.col("event_id") % 6 == 4, "Bãi <- Tàu").otherwise(F.col("event_type"))
+    return R.table(spark, sf_dir, "events").select("event_id", B.arrow(cases).alias("phrase"))
+
+
+@query("bullet_prices", "SELECT p_partkey, 'Tầng' AS text, (p_partkey + 1000) || '.000|1.5' AS prices FROM part")
+def bullet_prices(spark, sf_dir):
+    line = F.concat(F.lit("Tầng 2 giá "), (F.col("p_partkey") + 1000).cast("string"), F.lit(".000 12 1.5"))
+    p = R.table(spark, sf_dir, "part").select("p_partkey", B.text_and_prices(line).alias("s"))
+    return p.select("p_partkey", "s.text", J(F.col("s.prices")).alias("prices"))
+
+
+@query("text_table_rows", I + " SELECT 'doc_' || k AS document_id, (tt - 1)::INT AS row_no, tt::VARCHAR AS num, 'Hàng cỡ lớn' AS description, (price + 10000) || '.000|' || (price + 20000) || '.000' AS prices FROM i")
+def text_table_rows(spark, sf_dir):
+    p = F.col("price")
+    line = F.concat(F.col("tt").cast("string"), F.lit(" Hàng "), (p + 10000).cast("string"), F.lit(".000 "), (p + 20000).cast("string"), F.lit(".000\ncỡ lớn"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("tt", line.alias("line")))), lambda s: s["line"])
+    blocks = R.items(spark, sf_dir).groupBy("k").agg(F.concat(F.array_join(rows, "\n"), F.lit("\nGhi chú: hết")).alias("text"))
+    got = B.parse_text_tables(blocks.select(F.concat(F.lit("doc_"), F.col("k").cast("string")).alias("document_id"), "text"))
+    return got.select("document_id", "row_no", "num", "description", J(F.col("prices")).alias("prices"))
+
+
+@query("skip_lines", "WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations) SELECT conv_id, turn, count(*) AS n FROM l WHERE NOT (" + " OR ".join(f"contains(lower(line), {Q(w)})" for w in B.SKIPPED) + ") GROUP BY ALL")
+def skip_lines(spark, sf_dir):
+    lines = R.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.where(~B.is_skipped("line")).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- PDF ---------------------------------------------------------------------------------------------------------
+
+
+def line_boxes(spark, sf_dir):
+    li = R.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("d"), (F.col("l_orderkey") % 50).cast("string")).alias("document_id"), (F.col("l_partkey") % 20).cast("int").alias("page"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
+    y = (F.col("k") % 800).cast("double")
+    return li.select("document_id", "page", "k", "n", "p", "s", (F.col("s") % 400).cast("double").alias("x0"), y.alias("y0"), (F.col("s") % 400 + 60).cast("double").alias("x1"), (y + 10).alias("y1"))
+
+
+def table_boxes(spark, sf_dir):
+    p = R.table(spark, sf_dir, "part")
+    x, y = (F.col("p_size") * 7).cast("double"), (F.col("p_partkey") % 700).cast("double")
+    return p.select(F.concat(F.lit("d"), (F.col("p_partkey") % 50).cast("string")).alias("document_id"), (F.col("p_partkey") % 20).cast("int").alias("page"), x.alias("x0"), y.alias("y0"), (x + 200).alias("x1"), (y + 120).alias("y1"))
+
+
+BOXES = """WITH l AS (SELECT 'd' || (l_orderkey % 50) AS document_id, (l_partkey % 20)::INT AS page, l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, (l_suppkey % 400)::DOUBLE AS x0, (l_orderkey % 800)::DOUBLE AS y0, (l_suppkey % 400 + 60)::DOUBLE AS x1, (l_orderkey % 800 + 10)::DOUBLE AS y1 FROM lineitem),
+b AS (SELECT 'd' || (p_partkey % 50) AS document_id, (p_partkey % 20)::INT AS page, (p_size * 7)::DOUBLE AS x0, (p_partkey % 700)::DOUBLE AS y0, (p_size * 7 + 200)::DOUBLE AS x1, (p_partkey % 700 + 120)::DOUBLE AS y1 FROM part) """
+
+
+@query("bbox_anti", BOXES + "SELECT document_id, page, k, n, p, s FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.document_id = l.document_id AND b.page = l.page AND l.x0 >= b.x0 - 5 AND l.y0 >= b.y0 - 5 AND l.x1 <= b.x1 + 5 AND l.y1 <= b.y1 + 5)")
+def bbox_anti(spark, sf_dir):
+    return P.outside_boxes(line_boxes(spark, sf_dir), table_boxes(spark, sf_dir)).select("document_id", "page", "k", "n", "p", "s")
+
+
+def headings_and_tables(spark, sf_dir):
+    o = R.table(spark, sf_dir, "orders").select(F.concat(F.lit("d"), (F.col("o_custkey") % 40).cast("string")).alias("document_id"), (F.col("o_orderkey") % 60).cast("int").alias("page"), F.col("o_orderkey").alias("heading_id"), (F.col("o_orderkey") * 37 % 800).cast("double").alias("y"))
+    p = R.table(spark, sf_dir, "part").select(F.concat(F.lit("d"), (F.col("p_partkey") % 40).cast("string")).alias("document_id"), (F.col("p_size") % 60).cast("int").alias("page"), F.col("p_partkey").alias("table_id"), (F.col("p_partkey") * 53 % 800).cast("double").alias("y"))
+    return o, p
+
+
+@query("nearest_table_match", """WITH h AS (SELECT 'd' || (o_custkey % 40) AS document_id, (o_orderkey % 60)::INT AS page, o_orderkey AS heading_id, (o_orderkey * 37 % 800)::DOUBLE AS y FROM orders),
+t AS (SELECT 'd' || (p_partkey % 40) AS document_id, (p_size % 60)::INT AS page, p_partkey AS table_id, (p_partkey * 53 % 800)::DOUBLE AS y FROM part),
+c AS (SELECT h.document_id, heading_id, table_id, abs(h.page - t.page) * 10000 + abs(h.y - t.y) AS distance FROM h JOIN t ON h.document_id = t.document_id AND abs(h.page - t.page) <= 1)
+SELECT document_id, heading_id, table_id, distance FROM c QUALIFY row_number() OVER (PARTITION BY document_id, heading_id ORDER BY distance, table_id) = 1""")
+def nearest_table_match(spark, sf_dir):
+    return P.nearest_tables(*headings_and_tables(spark, sf_dir))
+
+
+@query("greedy_table_match")
+def greedy_table_match(spark, sf_dir):
+    return P.match_tables(*headings_and_tables(spark, sf_dir))
+
+
+@query("spans_to_lines", """WITH s AS (SELECT l_orderkey AS page, CASE WHEN l_returnflag = 'R' THEN 'DRAFT' ELSE 'P' || l_partkey END AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS span, trunc(l_quantity)::INT % 20 AS size FROM lineitem),
+g AS (SELECT page, string_agg(text, ' ' ORDER BY span) AS text, avg(size) AS size FROM s WHERE text <> 'DRAFT' GROUP BY page) SELECT page, CASE WHEN size > 16 THEN '# ' WHEN size > 14 THEN '## ' WHEN size > 12 THEN '### ' ELSE '' END || text AS markdown FROM g""")
+def spans_to_lines(spark, sf_dir):
+    i = R.items(spark, sf_dir)
+    spans = i.select(F.lit("d").alias("document_id"), F.col("k").alias("page"), F.lit(0).alias("block"), F.lit(0).alias("line"), F.col("tt").alias("span"), F.when(F.col("flag") == "R", "DRAFT").otherwise(F.regexp_extract("item", r"(P\d+)", 1)).alias("text"), (F.col("q") % 20).alias("size"))
+    return P.spans_to_lines(spans).select("page", "markdown")
+
+
+@query("started_latch", I + ", f AS (SELECT k, min(CASE WHEN item LIKE 'Phụ thu%' THEN tt END) AS s FROM i GROUP BY k) SELECT 'doc_' || i.k AS document_id, (i.tt + 5)::INT AS line_no FROM i JOIN f ON i.k = f.k AND i.tt >= f.s UNION ALL SELECT 'doc_' || f.k, (6 + (SELECT count(*) FROM i WHERE i.k = f.k))::INT FROM f")
+def started_latch(spark, sf_dir):
+    return started(doc_lines(R.rendered_orders(spark, sf_dir)), F.col("line").rlike("(?i)phụ thu"), ["line_no"]).select("document_id", "line_no")
+
+
+@query("stream_heuristics", """WITH s AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS stream_no, (l_partkey % 1000 + 1)::BIGINT AS size, trunc(l_quantity)::INT % 20 AS ops, l_returnflag = 'R' AS rotated FROM lineitem), t AS (SELECT *, size / sum(size) OVER (PARTITION BY page) AS share FROM s)
+SELECT page, stream_no::INT AS stream_no, (share < 0.05 AND ops = 0) OR (rotated AND share < 0.03 AND ops < 10) OR (ops BETWEEN 1 AND 14 AND share < 0.2 AND size > 100) AS removed FROM t""")
+def stream_heuristics(spark, sf_dir):
+    i = R.items(spark, sf_dir)
+    size = F.regexp_extract("item", r"(\d+)", 1).cast("long") % 1000 + 1
+    s = i.select(F.lit("d").alias("document_id"), F.col("k").alias("page"), F.col("tt").alias("stream_no"), size.alias("size"), (F.col("q") % 20).alias("text_ops"), (F.col("flag") == "R").alias("rotated"))
+    return P.removed_streams(s).select("page", "stream_no", "removed")
+
+
+@query("operator_filter", """SELECT p_partkey, v.op_no FROM part, (VALUES (0), (1), (2), (3)) AS v(op_no) WHERE NOT (p_size % 2 = 0 AND v.op_no IN (1, 2))""")
+def operator_filter(spark, sf_dir):
+    p = R.table(spark, sf_dir, "part")
+    y = F.when(F.col("p_size") % 2 == 0, "20").otherwise("400")
+    ops = F.array(F.concat(F.lit("1 0 0 1 50 "), y, F.lit(" Tm")), F.concat(F.lit("[("), F.col("p_size").cast("string"), F.lit(")] TJ")), F.lit("[(-- __)] TJ"), F.lit("[(12a)] TJ"))
+    each = p.select("p_partkey", F.lit("d").alias("document_id"), F.col("p_partkey").alias("page"), F.lit(842.0).alias("height"), F.posexplode(ops).alias("op_no", "op"))
+    return P.filtered_operators(each).select("p_partkey", "op_no")
