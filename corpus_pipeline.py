@@ -53,8 +53,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return packing.digest(packing.pack(docs))
+    """Pieces of sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. The workers have served earlier stages, so the encoder's cache is smaller."""
+    return packing.digest(packing.pack(docs, most_cuts=150_000))
 
 
 STAGES = [

@@ -204,7 +204,7 @@ class Reader:
             held = held[n:]
 
 
-def token_table(docs: DataFrame, path: str, end_id: int, dtype: str = "<u4") -> DataFrame:
+def token_table(docs: DataFrame, path: str, end_id: int, dtype: str = "<u4", most_cuts: int = 500_000) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned ids of the whole text, then end_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ def token_table(docs: DataFrame, path: str, end_id: int, dtype: str = "<u4") ->
 
         width = np.dtype(dtype).itemsize
         for b in slices(batches, "text", 4 << 20):
-            ids, lengths = encoder(path).encode(b.column(1))
+            ids, lengths = encoder(path, most_cuts).encode(b.column(1))
             ends = np.cumsum(lengths)
             data = np.insert(ids, ends, end_id).astype(dtype)
             offsets = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1)) * width]).astype(np.int32)

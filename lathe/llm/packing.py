@@ -167,8 +167,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, **options) -> DataFrame:
-    return pack_tokens(token_table(docs, path or tokenizer_path(), end_id), **options)
+def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, most_cuts: int = 500_000, **options) -> DataFrame:
+    """most_cuts bounds the cache of each worker's encoder; it changes no result."""
+    return pack_tokens(token_table(docs, path or tokenizer_path(), end_id, most_cuts=most_cuts), **options)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    """One a worker process: its cache outlives tasks."""
-    return Encoder(path)
+def encoder(path: str, most_cuts: int = 500_000) -> Encoder:
+    """One a worker process: its cache outlives tasks. A cut takes about 0.3 kB."""
+    return Encoder(path, most_cuts)
