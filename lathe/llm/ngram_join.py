@@ -6,7 +6,8 @@ order. (Which n-grams count as frequent, at most MOST_FREQUENT, is found from co
 decides only the order, so speed; any order gives the same result.)
 
 Candidates. Two sets of Jaccard >= t share an n-gram among the first n - ceil(t n) + 1 of each. Classes that share
-such an n-gram form a block. A block isn't expanded into pairs: in each size band its smallest class is paired with
+such an n-gram form a block; a pair is looked at only where the places of the n-gram in both sets, if it is their first
+common one, leave room for enough others. A block isn't expanded into pairs: in each size band its smallest class is paired with
 the others; after links have been counted and components found, blocks that lie in one component are done. In those
 left, further classes serve as hubs (more in each round) for classes of other components, until each block lies in
 one component or all its classes have served. So no link between different components is missed.
@@ -36,11 +37,12 @@ from pyspark.sql import Window as W
 from lathe.llm.common import materialize, slices, table
 
 #: Bounds the array of frequent n-grams that every task gets (8 bytes each).
-MOST_FREQUENT = 100_000
+MOST_FREQUENT = 250_000
 #: An n-gram is frequent if chunks count it so often in sum; a chunk counts those that it has twice or more.
 FREQUENT, CHUNK = 24, 4_000_000
 FRAGMENTS = 4
-HUBS = (1, 8, 64, 1 << 60)
+#: Ranks of the classes that serve as hubs in later rounds.
+HUBS = ((1, 16), (17, 256), (257, 1 << 60))
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +52,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -106,21 +108,21 @@ def release(spark: SparkSession) -> None:
 
 
 def summarised(rows: DataFrame, size: int) -> DataFrame:
-    """kind 0: doc_id, n, signature a and b of each row; kind 1: n-gram a, and how often (n) a chunk's different sets have it."""
-    names = ["kind", "doc_id", "n", "a", "b"]
+    """kind 0: doc_id, key, n, signature a and b of each row; kind 1: n-gram a, and how often (n) a chunk's different sets have it."""
+    names = ["kind", "doc_id", "key", "n", "a", "b"]
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         grams, n = np.unique(np.concatenate(sets), return_counts=True)
         keep = n > 1
         grams, n = grams[keep], n[keep]
         none = pa.nulls(len(grams), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(grams), dtype=np.int32)), none, pa.array(n.astype(np.int64)), pa.array(grams), none], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(grams), dtype=np.int32)), none, none, pa.array(n.astype(np.int64)), pa.array(grams), none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held, seen = [], 0, set()
         for b in slices(batches, "text"):
             out = []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 grams = ngram_set(text, size)
                 sig = (len(grams), *signature(grams))
                 out.append(sig)
@@ -129,14 +131,14 @@ def summarised(rows: DataFrame, size: int) -> DataFrame:
                     sets.append(grams)
                     held += len(grams)
             n, x, y = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), dtype=np.int32)), b.column(0), *(pa.array(c, pa.int64()) for c in (n, x, y))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), dtype=np.int32)), b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n, x, y))], names=names)
             if held >= CHUNK:
                 yield counted(sets)
                 sets, held, seen = [], 0, set()
         if sets:
             yield counted(sets)
 
-    return rows.mapInArrow(run, "kind int, doc_id long, n long, a long, b long")
+    return rows.mapInArrow(run, "kind int, doc_id long, key long, n long, a long, b long")
 
 
 def prefixes(rows: DataFrame, size: int, t: int, frequent: np.ndarray) -> DataFrame:
@@ -159,14 +161,19 @@ def prefixes(rows: DataFrame, size: int, t: int, frequent: np.ndarray) -> DataFr
 
 
 def fragments(rows: DataFrame, size: int, frequent: np.ndarray, cuts: int = FRAGMENTS) -> DataFrame:
-    """rows: node, text. node, n, fragment, grams: the set's parts in equal ranges of the global order, frequent ones last."""
+    """rows: node, n, a, b, text. node, n, fragment, grams: the set's parts in equal ranges of the global order, frequent ones last. Rows whose text isn't the class's (of the same doc_id) are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.array([(1 << 62) // (cuts - 1) * (i + 1) for i in range(cuts - 2)] + [1 << 62], dtype=np.int64)
         for b in slices(batches, "text", 2 << 20):
             out = []
-            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                grams = ordered(ngram_set(text, size), frequent)
+            seen = set()
+            for node, *sig, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                grams = ngram_set(text, size)
+                if [len(grams), *signature(grams)] != sig or node in seen:
+                    continue
+                seen.add(node)
+                grams = ordered(grams, frequent)
                 out += [(node, len(grams), f, part) for f, part in enumerate(np.split(grams, np.searchsorted(grams, bounds))) if len(part)]
             if out:
                 node, n, f, part = zip(*out, strict=True)
@@ -222,57 +229,52 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark, t = docs.sparkSession, percent
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
     facts = materialize(summarised(rows, size), "join-facts")
-    mine = facts.where("kind = 0").select("doc_id", "n", "a", "b")
+    mine = facts.where("kind = 0").select("doc_id", "key", "n", "a", "b")
     often = facts.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(MOST_FREQUENT)
-    frequent = np.sort(np.array([r["a"] for r in often.collect()], dtype=np.int64))
+    frequent = np.sort(often.select("a").toArrow().column(0).to_numpy()).astype(np.int64)
 
-    classes = mine.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first_doc"))
+    classes = mine.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first_doc"), F.min("key").alias("key"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
     prefix = prefixes(rows, size, t, frequent).groupBy("n", "a", "b").agg(F.any_value("prefix").alias("prefix"))
     prefix = materialize(prefix.join(classes, ["n", "a", "b"]).select("node", "n", "prefix"), "join-prefixes")
     release(spark)
 
-    each = prefix.select(F.explode("prefix").alias("x"), "node", "n", F.floor(F.log("n") / F.log(F.lit(100 / t))).cast("int").alias("band"))
-    hub = F.min(F.struct("n", "node"))
+    each = prefix.select(F.posexplode("prefix").alias("pos", "x"), "node", "n", F.floor(F.log("n") / F.log(F.lit(100 / t))).cast("int").alias("band"))
+    hub = F.min(F.struct("n", "node", "pos"))
     light = each.where(F.col("x") < 1 << 62)
     light = light.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("x"))).where("many > 1")
-    light = light.withColumn("hub", hub.over(W.partitionBy("x", "band"))).select("x", "node", "n", "band", "hub")
+    light = light.withColumn("hub", hub.over(W.partitionBy("x", "band"))).select("x", "node", "n", "pos", "hub")
     heavy = each.where(F.col("x") >= 1 << 62)
-    hubs = heavy.groupBy("x", "band").agg(hub.alias("hub"), F.count(F.lit(1)).alias("many"))
-    heavy = heavy.join(F.broadcast(hubs) if len(frequent) <= MOST_FREQUENT else hubs, ["x", "band"]).select("x", "node", "n", "band", "hub")
+    hubs = heavy.groupBy("x", "band").agg(hub.alias("hub"))
+    heavy = heavy.join(F.broadcast(hubs) if len(frequent) <= MOST_FREQUENT else hubs, ["x", "band"]).select("x", "node", "n", "pos", "hub")
     blocks = materialize(light.union(heavy), "join-blocks")
     release(spark)
 
-    compatible = lambda n1, n2: 100 * F.least(n1, n2) >= t * F.greatest(n1, n2)
-    pairs = blocks.where("node <> hub.node").select(F.col("hub.node").alias("u"), F.col("node").alias("v"), F.col("hub.n").alias("n1"), "n")
-    pairs = pairs.where(compatible(F.col("n1"), F.col("n"))).select("u", "v").distinct()
-    tried = links = sets = None
-    roots, first = None, True
-    for low, high in ((0, 0), *zip((1, *(h + 1 for h in HUBS)), HUBS)):
-        if not first:
-            pairs = further(blocks, roots, tried, low, high, compatible)
-        pairs = materialize(pairs, "join-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+    pairs = blocks.where("node <> hub.node").select(F.col("hub.node").alias("u"), F.col("node").alias("v"), F.col("hub.n").alias("n1"), F.col("hub.pos").alias("p1"), "n", "pos")
+    pairs = materialize(pairs.where(possible("n1", "p1", "n", "pos", t)).select("u", "v").distinct(), "join-pairs")
+    tried, sets, roots = pairs, None, None
+    left = blocks.select("x", "node", "n", "pos")
+    for low, high in ((0, 0), *HUBS):
+        if low:  # blocks in one component, and those whose classes have all served, are done
+            left = materialize(ranked(left, roots).where(F.col("size") > low), "join-left")
+            if left.isEmpty():
+                break
+            pairs = materialize(further(left, tried, low, high, t), "join-pairs")
+            tried = tried.union(pairs)
         good = materialize(bounded(pairs, prefix, t), "join-bounded")
         release(spark)
-        if first or not good.isEmpty():
-            known = sets
-            nodes = good.select(F.col("u").alias("node")).union(good.select(F.col("v").alias("node"))).distinct()
-            if known is not None:
-                nodes = nodes.join(known.select("node").distinct(), "node", "left_anti")
-            more = materialize(fragments(texts_of(nodes, classes, rows, mine), size, frequent), "join-sets")
-            sets = more if known is None else known.union(more)
-            found = materialize(linked(good, sets, t), "join-links")
-            links = found if links is None else links.union(found)
-            if first or not found.isEmpty():
-                roots = components(links)
-            release(spark)
-        first = False
-        if mixed_blocks(blocks, roots).isEmpty():
-            break
-        if low and blocks.groupBy("x").count().agg(F.max("count")).first()[0] <= high:
-            break
+        if roots is not None and good.isEmpty():
+            continue
+        nodes = good.select(F.col("u").alias("node")).union(good.select(F.col("v").alias("node"))).distinct()
+        if sets is not None:
+            nodes = nodes.join(sets.select("node").distinct(), "node", "left_anti")
+        more = materialize(fragments(texts_of(nodes, classes, rows), size, frequent).dropDuplicates(["node", "fragment"]), "join-sets")
+        sets = more if sets is None else sets.union(more)
+        links = linked(good, sets, t)
+        roots = components(links if roots is None else links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        release(spark)
 
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
@@ -281,28 +283,31 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     return mine.join(placed, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame, mine: DataFrame) -> DataFrame:
-    """node, text: of each of nodes the text of one row."""
-    wanted = nodes.join(classes, "node")
-    known = wanted.where("first_doc is not null").select("node", F.col("first_doc").alias("doc_id"), "n", "a", "b")
-    return rows.join(known.select("node", "doc_id"), rows["doc_id"] == known["doc_id"]).select("node", "text")
+def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, n, a, b, text: of each of nodes the text of one row (or of a few, if rows share a key)."""
+    wanted = nodes.join(classes, "node").select("key", "node", "n", "a", "b")
+    return rows.join(wanted, "key").select("node", "n", "a", "b", "text")
 
 
-def rooted(blocks: DataFrame, roots: DataFrame) -> DataFrame:
-    return blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def possible(n1: str, p1: str, n2: str, p2: str, t: int):
+    """Whether sets may be similar whose first common n-gram stands at places p1 and p2 (from 0). A similar pair passes in the block of its first one."""
+    rest = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
+    return similar(rest, F.col(n1), F.col(n2), t)
 
 
-def mixed_blocks(blocks: DataFrame, roots: DataFrame) -> DataFrame:
-    """x of blocks whose classes lie in more than one component."""
-    return rooted(blocks, roots).groupBy("x").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("x")
+def ranked(blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """x, node, n, pos, root, rank (by set size) and size of blocks whose classes lie in more than one component."""
+    rooted = blocks.select("x", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed_ = rooted.groupBy("x").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("x")
+    left = rooted.join(mixed_, "x").select("x", "node", "n", "pos", "root")
+    w = W.partitionBy("x")
+    return left.withColumn("rank", F.row_number().over(w.orderBy("n", "node"))).withColumn("size", F.count(F.lit(1)).over(w))
 
 
-def further(blocks: DataFrame, roots: DataFrame, tried: DataFrame, low: int, high: int, compatible) -> DataFrame:
-    """Pairs of the blocks' classes of rank low to high (by size) with later classes of other components, not tried before."""
-    left = rooted(blocks, roots).join(mixed_blocks(blocks, roots), "x").select("x", "node", "n", "root")
-    left = materialize(left.withColumn("rank", F.row_number().over(W.partitionBy("x").orderBy("n", "node"))), "join-left")
-    hubs = left.where(F.col("rank").between(low, high)).select("x", F.col("node").alias("u"), F.col("n").alias("n1"), F.col("root").alias("root1"), F.col("rank").alias("rank1"))
-    both = hubs.join(left, "x").where((F.col("rank") > F.col("rank1")) & (F.col("root") != F.col("root1")) & compatible(F.col("n1"), F.col("n")))
+def further(left: DataFrame, tried: DataFrame, low: int, high: int, t: int) -> DataFrame:
+    """Pairs of the blocks' classes of rank low to high with later classes of other components, not tried before."""
+    hubs = left.where(F.col("rank").between(low, high)).select("x", F.col("node").alias("u"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("root").alias("root1"), F.col("rank").alias("rank1"))
+    both = hubs.join(left, (hubs["x"] == left["x"]) & (F.col("rank") > F.col("rank1")) & (F.col("root") != F.col("root1")) & possible("n1", "p1", "n", "pos", t))
     pairs = both.select("u", F.col("node").alias("v")).distinct()
     return pairs.join(tried, ["u", "v"], "left_anti")
 
