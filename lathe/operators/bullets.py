@@ -7,9 +7,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from lathe.functions.text import any_case, col, count_tokens, strip  # noqa: F401
+from lathe.functions.text import any_case, col, strip
 from lathe.operators.lines import by_line, doc_lines, ordered
 
 BAR = "━"
@@ -188,7 +187,7 @@ def render_markdown(docs: DataFrame) -> DataFrame:
     lines = doc_lines(docs).where(~is_marker("line"))
     text = strip("line")
     filled = lines.where(text != "").withColumn("pipe", F.startswith(text, F.lit("|")))
-    run = F.col("line_no") * 0 + F.row_number().over(by_line()) - F.row_number().over(by_line("pipe"))
+    run = F.row_number().over(by_line()) - F.row_number().over(by_line("pipe"))
     filled = filled.withColumn("run", run).withColumn("after", F.coalesce(F.lag("pipe").over(by_line()), F.lit(False)))
     tables = filled.where("pipe").groupBy("document_id", "run").agg(F.min("line_no").alias("line_no"), ordered("line").alias("rows"))
     tables = tables.select("document_id", "line_no", boxes("rows").alias("out"))
@@ -270,7 +269,3 @@ def option_box(num: Column, description: Column, names: Column, values: Column)
     each = F.transform(values, lambda p, i: F.concat(F.lit("┃ • "), name(i), F.repeat(F.lit(" "), F.greatest(width - F.length(name(i)), F.lit(0))), F.lit(" → "), p))
     return F.concat(F.array(top, F.lit("┣" + BAR * 70)), each, F.array(F.lit("")))
 
-
-def consecutive(lines: DataFrame) -> DataFrame:
-    """Lines with the one before them, as the state machines of clean-up need it."""
-    return lines.withColumn("previous", F.lag("line").over(W.partitionBy("document_id").orderBy("line_no")))

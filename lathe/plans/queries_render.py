@@ -46,10 +46,7 @@ def html_shell(spark, sf_dir):
 @query("bullet_headings", I + " SELECT 'doc_' || k AS document_id, chr(10) || 'I ' || status || chr(10) || repeat('━', length(status) + 4) || chr(10) || chr(10) || '1 ' || priority || chr(10) || repeat('━', length(priority) + 2) || chr(10) || '  • Xe xuống bãi' || chr(10) || '• mục' AS text FROM o")
 def bullet_headings(spark, sf_dir):
     text = F.concat(F.lit("## I "), "status", F.lit("\n### 1 "), "priority", F.lit("\n#### Xe → Bãi\n* mục"))
-    return B.render_markdown(R.order_tables(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("k").cast("string")).alias("document_id"), text.alias("text"))).select("document_id", F.regexp_replace("text", "• mục$", "• mục").alias("text")).select("document_id", F.replace("text", F.lit("•  mục"), F.lit("• mục")).alias("text"))
-
-
-HEAD = ("Hàng", "20'", "40' HC", "Giá VND")
+    return B.render_markdown(R.order_tables(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("k").cast("string")).alias("document_id"), text.alias("text")))
 
 
 @query("bullet_boxes", I + """, s AS (SELECT *, max(CASE WHEN tt = 1 THEN item END) OVER (PARTITION BY k) AS i1, max(CASE WHEN tt = 1 THEN q END) OVER (PARTITION BY k) AS q1, max(CASE WHEN tt = 1 THEN price END) OVER (PARTITION BY k) AS p1 FROM i)
