@@ -40,6 +40,9 @@ WIDE = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![0-9])",
     "phone": r"(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})|(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\)|[0-9]{3}))[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9])",
 }
+#: What every text with a match has: other texts aren't searched.
+BASE_MARK = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
+WIDE_MARK = {"email": r"@|[(\[]at", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{4}", "phone": "[0-9]{4}"}
 OCTET = r"0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Gazetteers, as patterns on the match: top-level domains, issuer ranges, country codes, first octets in public use.
 GAZETTEER = {
@@ -129,9 +132,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     cols = []
     for kind in KINDS:
         base = F.filter(matches(text, BASE[kind]), tested(kind))
-        mark = {"email": "@|[(\\[]at", "ip": "[0-9]\\.[0-9]", "card": "[0-9]{4}", "phone": "[0-9]{4}"}[kind]
         none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-        for name, found in ((f"base_{kind}", base), (f"wide_{kind}", matches(text, WIDE[kind]))):
+        for name, found, mark in ((f"base_{kind}", base, BASE_MARK[kind]), (f"wide_{kind}", matches(text, WIDE[kind]), WIDE_MARK[kind])):
             cols.append(voted(text, kind, F.when(text.rlike(mark), found).otherwise(none)).alias(name))
     return rows.select("doc_id", *cols)
 

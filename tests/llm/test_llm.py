@@ -177,6 +177,28 @@ def test_pii(spark, docs):
     assert pii.detect(docs.limit(0)).count() == 0
 
 
+def test_pii_base(spark):
+    """Base spans against Python's re, each text alone: no other digits help a number written in short groups."""
+    texts = ["call +33 1 23 45 67 89", "41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "411 111 111 111 111 1 \U0001f600 +1.2.3.4.5.6.7.8", "a@b.c 1.2.3.4", "x@y 1.2.3", None]
+    rng = random.Random(7)
+    texts += ["".join(rng.choice(["0", "4", "18", "111", "+", "+4", " ", "-", ".", "(", ")", "@", "a", "b.c", "é"]) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    texts += ["".join(rng.choice(["41", "1", "11", "0"]) + rng.choice([" ", "-", ""]) for _ in range(rng.randint(9, 14))) for _ in range(1000)]
+
+    def luhn(d):
+        return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    n = lambda m: len(re.sub("[^0-9]", "", m))
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= n(m) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= n(m) <= 15),
+    ]
+    want = {i: [(k, m.start(), m.end()) for k, (p, ok) in enumerate(kinds) for m in re.finditer(p, t or "") if ok(m.group())] for i, t in enumerate(texts)}
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and want[0] and want[1] and Counter(s[0] for f in want.values() for s in f).keys() == {0, 1, 2, 3}
+
+
 def test_media(spark, docs):
     got = media.media_features(media.encode_media(docs)).collect()
     want = Counter()
