@@ -6,13 +6,22 @@ besides doc_id and text are carried through; a missing one of doc_id, text or so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.llm import exact_dedup, mixing, ngram_join, packing, quality
 from lathe.llm.common import materialize, table
 
 
+def whole_text() -> Column:
+    """The text; null counts as empty."""
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def long_id() -> Column:
+    return F.col("doc_id").cast("long")
+
+
 def kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among decisions.doc_id (null equals null)."""
     ids = decisions.select(F.col("doc_id").cast("long").alias("__id")).distinct()
@@ -20,10 +29,11 @@ def kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (predicted 1). The label depends on the text alone, so equal ids with other texts are told apart by the score's own row."""
-    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"))
-    bad = scored.where("predicted = 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """Documents that the quality classifier accepts (predicted 1). The label depends on the text alone; decisions are joined by doc_id and a hash of the text, so rows with equal or null ids are told apart."""
+    keyed = docs.withColumn("__key", F.sha2(whole_text().cast("binary"), 256))
+    scored = quality.score_documents(keyed, table(spark, sf_dir, "labels"), carry=["__key"])
+    bad = scored.where("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__bad")).distinct()
+    return keyed.join(bad, F.col("__key").eqNullSafe(F.col("__bad")) & long_id().eqNullSafe(F.col("__id")), "left_anti").drop("__key")
 
 
 def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,13 +13,14 @@ rows of both classes the score is the prior 0.5. Extra columns are ignored; repe
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lathe.llm.common import materialize, slices, table
 
@@ -64,14 +65,16 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, x (array of STATISTICS): the only pass over texts."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, x (array of STATISTICS) and the columns in carry: the only pass over texts."""
+    names = ["doc_id", "x", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in b.column(1).to_pylist()], type=pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in b.column(1).to_pylist()], type=pa.list_(pa.float64())), *b.columns[2:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:1], T.StructField("x", T.ArrayType(T.DoubleType())), *rows.schema.fields[2:]]))
 
 
 @dataclass
@@ -122,18 +125,19 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs, learned from the labels' quality."""
-    stats = materialize(with_statistics(docs), "quality")
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns in carry for each row of docs, learned from the labels' quality."""
+    stats = materialize(with_statistics(docs, carry=carry), "quality")
+    names = ["doc_id", "score", *carry]
     model = fit(stats.join(training_labels(labels, "quality"), "doc_id").select("x", "label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x)), *b.columns[2:]], names=names)
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = stats.mapInArrow(run, T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType()), *stats.schema.fields[2:]]))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,42 @@
+"""The pipeline's stages and run() on null and repeated ids, copies and near copies, against plain Python."""
+
+import random
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline as pipeline
+
+RNG = random.Random(11)
+VOCAB = [f"w{i}" for i in range(300)]
+SCHEMA = "doc_id long, text string, source string"
+
+
+def words(n=80):
+    return " ".join(RNG.choice(VOCAB) for _ in range(n))
+
+
+JUNK = "BUY!!! $$$ " * 30
+
+
+@pytest.fixture(scope="module")
+def learned(spark, tmp_path_factory):
+    """A folder of 200 documents and labels; every fourth is junk."""
+    folder = tmp_path_factory.mktemp("pipeline")
+    rows = [(i, words() if i % 4 else JUNK + str(i), "ab"[i % 2]) for i in range(200)]
+    spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder), rows
+
+
+def staged(spark, stage, rows, folder=""):
+    return [tuple(r) for r in dict(pipeline.STAGES)[stage](spark, spark.createDataFrame(rows, SCHEMA).repartition(3), folder).collect()]
+
+
+def test_quality(spark, learned):
+    folder, rows = learned
+    clean = words()
+    rows = [*rows, (None, words(), "a"), (None, JUNK, "a"), (None, words(), None), (None, None, "b"), (500, words(), "a"), (500, JUNK, "a"), (501, clean, "b"), (501, clean.upper(), "b"), (501, clean, "b")]
+    got = Counter(staged(spark, "quality", rows, folder))
+    sure = [r for r in rows if r[1] is not None and not r[1].isupper()]
+    assert {r: n for r, n in got.items() if r in sure} == Counter(r for r in sure if not r[1].startswith("BUY"))
+    assert not any(r[1] and r[1].startswith("BUY") for r in got)
