@@ -22,12 +22,6 @@ def long_id() -> Column:
     return F.col("doc_id").cast("long")
 
 
-def kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among decisions.doc_id (null equals null)."""
-    ids = decisions.select(F.col("doc_id").cast("long").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")
-
-
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (predicted 1). The label depends on the text alone; decisions are joined by doc_id and a hash of the text, so rows with equal or null ids are told apart."""
     keyed = docs.withColumn("__key", F.sha2(whole_text().cast("binary"), 256))
@@ -37,20 +31,25 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays: that with the largest doc_id, and of its repeated rows one."""
-    return one_each(kept(docs, exact_dedup.dedup(docs, "largest").where("kept")))
-
-
-def one_each(docs: DataFrame) -> DataFrame:
-    """Of rows with equal doc_id and text one (A-Z lower-cased)."""
-    key = F.sha2(exact_dedup.lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256)
-    return docs.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    """One document of each group of equal texts (A-Z lower-cased) stays: that with the largest doc_id, and of its repeated rows one. Null ids come last."""
+    keyed = docs.withColumn("__key", F.sha2(exact_dedup.lower_ascii(whole_text()).cast("binary"), 256))
+    best = exact_dedup.dedup(docs, "largest").where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
+    rows = keyed.join(best, (F.col("__key") == F.col("__kept")) & long_id().eqNullSafe(F.col("__id")), "left_semi")
+    return rows.dropDuplicates(["__key"]).drop("__key")
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id."""
-    found = ngram_join.ngram_join(docs)
-    return kept(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document of each group of near copies stays: that with the smallest doc_id, of null or repeated ids that with the least hash.
+
+    The join gets a 64-bit hash of doc_id and text in place of the id, so groups are told apart whatever the ids are. Null ids come last; of equal rows one stays.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(long_id(), whole_text()))
+    found = ngram_join.ngram_join(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    groups = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("group"))
+    ids = keyed.groupBy("__key").agg(F.min(long_id()).alias("id"))
+    best = groups.join(ids, "__key").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "__key")).alias("best"))
+    rows = keyed.join(best.select("best.__key"), "__key", "left_semi")
+    return rows.dropDuplicates(["__key", "doc_id", "text"]).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

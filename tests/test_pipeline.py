@@ -40,3 +40,48 @@ def test_quality(spark, learned):
     sure = [r for r in rows if r[1] is not None and not r[1].isupper()]
     assert {r: n for r, n in got.items() if r in sure} == Counter(r for r in sure if not r[1].startswith("BUY"))
     assert not any(r[1] and r[1].startswith("BUY") for r in got)
+
+
+def least(ids):
+    return min((x for x in ids if x is not None), default=None)
+
+
+def test_exact(spark):
+    rows = [(1, "Alpha beta", "a"), (2, "ALPHA BETA", "a"), (None, "alpha beta", None), (None, "only null", "a"), (None, "ONLY null", "a"), (7, "x y", "a"), (7, "x y", "a"), (7, "other", "b"), (2, "only here", "a"), (None, None, "b"), (3, "", "b")]
+    groups = {}
+    for d, t, _ in rows:
+        groups.setdefault((t or "").lower(), []).append(d)
+    want = Counter((max((x for x in ids if x is not None), default=None), t) for t, ids in groups.items())
+    assert Counter((d, (t or "").lower()) for d, t, _ in staged(spark, "exact_dedup", rows)) == want
+
+
+def components(rows):
+    """The component of each row, by brute force; rows without words are alone."""
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root = [root[b] if x == root[a] else x for x in root]
+    return root
+
+
+def near_copies(text, n):
+    return [f"{text} {words(2)}" for _ in range(n)]
+
+
+def test_near(spark):
+    a, b, c, d, e = (near_copies(words(), 3) for _ in range(5))
+    rows = [(10, a[0]), (11, a[1]), (None, a[2]), *((None, t) for t in b), *((None, t) for t in c), (12, d[0]), (10, d[1]), (20, e[0]), (20, e[1]), (21, e[2])]
+    same = words()
+    rows = [(*r, "a") for r in [*rows, (40, same), (40, same), (None, words()), (None, ""), (30, " "), (30, None), (31, "two words")]]
+    got = staged(spark, "near_dup", rows)
+    root = components(rows)
+    for k in set(root):
+        members = [r for r, x in zip(rows, root, strict=True) if x == k]
+        stays = [r for r in got if r in members]
+        assert len(stays) == 1 and stays[0][0] == least([r[0] for r in members])
+    assert len(got) == len(set(root))
