@@ -1,22 +1,26 @@
 """Similarity self-join of documents by n-gram sets (Jaccard), with vertically partitioned counting, and its components.
 
 Sets. A document's set holds 62-bit hashes of its distinct word n-grams. Equal sets become one class, so copies are
-never paired. Frequent n-grams are moved behind all others by one more bit; the numbers then are the global n-gram
-order. (Which n-grams count as frequent, at most MOST_FREQUENT, is found from counts of all n-grams within chunks. It
-decides only the order, so speed; any order gives the same result.)
+never paired.
+
+Order. All n-grams of all documents are counted: tasks send them as packed numbers, dealt by range, and each range is
+counted alone. Those of FREQUENT documents or more are moved behind all others by one more bit; the numbers then are
+the global n-gram order. At most MOST_FREQUENT of them, the most frequent, are shipped to the tasks (a fixed bound). The
+order decides only the speed: any order gives the same result.
 
 Candidates. Two sets of Jaccard >= t share an n-gram among the first n - ceil(t n) + 1 of each. Classes that share
 such an n-gram form a block; a pair is looked at only where the places of the n-gram in both sets, if it is their first
-common one, leave room for enough others. A block isn't expanded into pairs: in each size band its smallest class is paired with
-the others; after links have been counted and components found, blocks that lie in one component are done. In those
-left, further classes serve as hubs (more in each round) for classes of other components, until each block lies in
-one component or all its classes have served. So no link between different components is missed.
+common one, leave room for enough others. A block isn't expanded into pairs: its smallest class serves as hub and is
+paired with the others, and has then done its part in the block. After links have been counted and components found,
+blocks whose classes lie in one component are done. In those left, more classes serve as hubs (eight times as many each
+round) for classes of other components. So no link between different components is missed, and classes that are
+already connected are never paired.
 
 Counting. The global order is cut into fragments. The prefixes, its first part, are intersected first, and give an
 upper bound that drops most pairs; for the rest, overlaps are counted for every fragment separately and summed a pair.
 
 Components are found by large-star and small-star steps over tables; nothing that grows with the documents reaches the
-driver. Finished steps are written to the shared folder and their shuffle files released.
+driver. Finished steps are written to the shared folder; those that nothing reads any more are deleted.
 
 Nulls: a null or empty text has an empty set (0 n-grams), linked with nothing; its component is its own doc_id. A
 row with a null doc_id takes part by its text; a component's id is the smallest doc_id that isn't null. Repeated rows
@@ -34,71 +38,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lathe.llm.common import materialize, slices, table
+from lathe.llm.common import discard, materialize, slices, table
+from lathe.llm.words import Hasher, signatures
 
-#: Bounds the array of frequent n-grams that every task gets (8 bytes each).
-MOST_FREQUENT = 250_000
-#: An n-gram is frequent if chunks count it so often in sum; a chunk counts those that it has twice or more.
-FREQUENT, CHUNK = 24, 4_000_000
+#: N-grams of so many documents are frequent; at most so many of them are known to the tasks (8 bytes each).
+FREQUENT, MOST_FREQUENT = 24, 1_000_000
+#: N-grams that a task packs at once, and that a range to be counted holds on average.
+CHUNK, RANGE = 4_000_000, 2_000_000
 FRAGMENTS = 4
-#: Ranks of the classes that serve as hubs in later rounds.
-HUBS = ((1, 16), (17, 256), (257, 1 << 60))
-P = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    """64-bit hashes of words, kept while they fit."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 250_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-WORDS = _Words()
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection that spreads 64-bit numbers (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def ngram_set(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct 62-bit hashes of the word n-grams (A-Z lower-cased); fewer words than size: of all in one."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    h = np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = min(size, len(words))
-    m = len(words) - n + 1
-    x = np.full(m, np.uint64(n))
-    for i in range(n):
-        x = x * P + h[i : i + m]
-    return np.unique((mixed(x) >> np.uint64(2)).view(np.int64))
-
-
-def signature(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, by sums that don't depend on order."""
-    x = grams.view(np.uint64)
-    a, b = mixed(x + P).sum(dtype=np.uint64), mixed(x ^ P).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+#: How many more hubs serve in each block in the next round.
+FASTER = 8
+#: Up to so many classes (16 bytes each), the list of those whose texts are needed is broadcast.
+FEW = 500_000
+BITS = 62
 
 
 def prefix_length(n, t: int):
     return n - (t * n + 99) // 100 + 1
 
 
-def ordered(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The set in global order: frequent n-grams get bit 62."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        grams = np.sort(grams | (frequent[at] == grams).astype(np.int64) << 62)
-    return grams
+def firsts(n: np.ndarray, *sig: np.ndarray) -> np.ndarray:
+    """Numbers of the rows with non-empty sets, equal ones once."""
+    _, at = np.unique(np.stack([n, *sig]), axis=1, return_index=True)
+    at.sort()
+    return at[n[at] > 0]
 
 
 def release(spark: SparkSession) -> None:
@@ -108,76 +71,114 @@ def release(spark: SparkSession) -> None:
 
 
 def summarised(rows: DataFrame, size: int) -> DataFrame:
-    """kind 0: doc_id, key, n, signature a and b of each row; kind 1: n-gram a, and how often (n) a chunk's different sets have it."""
-    names = ["kind", "doc_id", "key", "n", "a", "b"]
-
-    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        grams, n = np.unique(np.concatenate(sets), return_counts=True)
-        keep = n > 1
-        grams, n = grams[keep], n[keep]
-        none = pa.nulls(len(grams), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(grams), dtype=np.int32)), none, none, pa.array(n.astype(np.int64)), pa.array(grams), none], names=names)
+    """doc_id, key, n, signature a and b of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held, seen = [], 0, set()
+        hasher = Hasher()
         for b in slices(batches, "text"):
-            out = []
-            for text in b.column(2).to_pylist():
-                grams = ngram_set(text, size)
-                sig = (len(grams), *signature(grams))
-                out.append(sig)
-                if sig not in seen and len(grams):
-                    seen.add(sig)
-                    sets.append(grams)
-                    held += len(grams)
-            n, x, y = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), dtype=np.int32)), b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n, x, y))], names=names)
-            if held >= CHUNK:
-                yield counted(sets)
-                sets, held, seen = [], 0, set()
-        if sets:
-            yield counted(sets)
+            flat, n = hasher.sets(b.column(2), size)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (n, *signatures(flat, n)))], names=["doc_id", "key", "n", "a", "b"])
+
+    return rows.mapInArrow(run, "doc_id long, key long, n long, a long, b long")
 
-    return rows.mapInArrow(run, "kind int, doc_id long, key long, n long, a long, b long")
 
+def frequent_grams(rows: DataFrame, size: int, total: int) -> tuple[np.ndarray, int]:
+    """The frequent n-grams' leading bits in order, and how far n-grams are shifted to give them. total: the number of all n-grams."""
+    cut = min(18, max(0, (total // RANGE).bit_length()))
+    shift = BITS - 32 - cut
 
-def prefixes(rows: DataFrame, size: int, t: int, frequent: np.ndarray) -> DataFrame:
+    def packed(sets: list[np.ndarray]) -> pa.RecordBatch:
+        ids = np.concatenate(sets) >> shift
+        ids.sort()
+        ranges = ids >> 32
+        starts = np.flatnonzero(np.diff(ranges, prepend=-1))
+        data = ids.astype(np.uint32)
+        offsets = (np.append(starts, len(ids)) * 4).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(ranges[starts]), pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])], names=["range", "ids"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, n_held, seen = Hasher(), [], 0, set()
+        for b in slices(batches, "text"):
+            flat, n = hasher.sets(b.column(0), size)
+            a, c = signatures(flat, n)
+            ends = np.cumsum(n)
+            for i in firsts(n, a, c).tolist():
+                if (sig := (int(a[i]), int(c[i]))) not in seen:
+                    seen.add(sig)
+                    held.append(flat[ends[i] - n[i] : ends[i]])
+                    n_held += int(n[i])
+            if n_held >= CHUNK:
+                yield packed(held)
+                held, n_held, seen = [], 0, set()
+        if held:
+            yield packed(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for r, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                parts.setdefault(r, []).append(np.frombuffer(ids, dtype=np.uint32))
+        for r in sorted(parts):
+            ids, n = np.unique(np.concatenate(parts.pop(r)), return_counts=True)
+            often = n >= FREQUENT
+            yield pa.RecordBatch.from_arrays([pa.array(ids[often].astype(np.int64) + (r << 32)), pa.array(n[often])], names=["id", "n"])
+
+    counted = rows.select("text").mapInArrow(send, "range long, ids binary").repartition("range").mapInArrow(count, "id long, n long")
+    most = counted.orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id")
+    return np.sort(most.toArrow().column("id").to_numpy()).astype(np.int64), shift
+
+
+def ordered(flat: np.ndarray, lengths: np.ndarray, frequent: np.ndarray, shift: int) -> np.ndarray:
+    """The sets in global order: frequent n-grams get bit 62 and come last in their set."""
+    if not len(frequent) or not len(flat):
+        return flat
+    ids = flat >> shift
+    late = frequent[np.minimum(np.searchsorted(frequent, ids), len(frequent) - 1)] == ids
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.lexsort((late, own)) if late.any() else slice(None)
+    return (flat | late.astype(np.int64) << BITS)[at]
+
+
+def lists(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
+
+
+def prefixes(rows: DataFrame, size: int, t: int, frequent: np.ndarray, shift: int) -> DataFrame:
     """n, a, b, prefix of each non-empty row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for b in slices(batches, "text"):
-            out, seen = [], set()
-            for text in b.column(0).to_pylist():
-                grams = ngram_set(text, size)
-                sig = (len(grams), *signature(grams))
-                if len(grams) and sig not in seen:
-                    seen.add(sig)
-                    out.append((*sig, ordered(grams, frequent)[: prefix_length(len(grams), t)]))
-            if out:
-                n, x, y, p = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (n, x, y)), pa.array(p, pa.list_(pa.int64()))], names=["n", "a", "b", "prefix"])
+            flat, n = hasher.sets(b.column(0), size)
+            sig = signatures(flat, n)
+            flat, starts, at = ordered(flat, n, frequent, shift), np.cumsum(n) - n, firsts(n, *sig)
+            if not len(at):
+                continue
+            p = prefix_length(n[at], t)
+            place = np.repeat(starts[at] - (np.cumsum(p) - p), p) + np.arange(int(p.sum()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in (n, *sig)), lists(flat[place], p)], names=["n", "a", "b", "prefix"])
 
     return rows.select("text").mapInArrow(run, "n long, a long, b long, prefix array<long>")
 
 
-def fragments(rows: DataFrame, size: int, frequent: np.ndarray, cuts: int = FRAGMENTS) -> DataFrame:
+def fragments(rows: DataFrame, size: int, frequent: np.ndarray, shift: int, cuts: int = FRAGMENTS) -> DataFrame:
     """rows: node, n, a, b, text. node, n, fragment, grams: the set's parts in equal ranges of the global order, frequent ones last. Rows whose text isn't the class's (of the same doc_id) are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.array([(1 << 62) // (cuts - 1) * (i + 1) for i in range(cuts - 2)] + [1 << 62], dtype=np.int64)
+        hasher = Hasher()
+        bounds = np.array([(1 << BITS) // (cuts - 1) * (i + 1) for i in range(cuts - 2)] + [1 << BITS], dtype=np.int64)
         for b in slices(batches, "text", 2 << 20):
-            out = []
-            seen = set()
-            for node, *sig, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                grams = ngram_set(text, size)
-                if [len(grams), *signature(grams)] != sig or node in seen:
-                    continue
-                seen.add(node)
-                grams = ordered(grams, frequent)
-                out += [(node, len(grams), f, part) for f, part in enumerate(np.split(grams, np.searchsorted(grams, bounds))) if len(part)]
+            flat, n = hasher.sets(b.column(4), size)
+            right = np.logical_and.reduce([b.column(k + 1).to_numpy() == x for k, x in enumerate((n, *signatures(flat, n)))]) & (n > 0)
+            flat, out = ordered(flat, n, frequent, shift), []
+            ends = np.cumsum(n)
+            for i in np.flatnonzero(right).tolist():
+                part = flat[ends[i] - n[i] : ends[i]]
+                marks = [0, *np.searchsorted(part, bounds).tolist(), len(part)]
+                out += [(i, f, part[x:y]) for f, (x, y) in enumerate(zip(marks, marks[1:])) if y > x]
             if out:
-                node, n, f, part = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(f, pa.int32()), pa.array(part, pa.list_(pa.int64()))], names=["node", "n", "fragment", "grams"])
+                i, f, part = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(n[list(i)]), pa.array(f, pa.int32()), lists(np.concatenate(part), np.array([len(x) for x in part]))], names=["node", "n", "fragment", "grams"])
 
     return rows.mapInArrow(run, "node long, n long, fragment int, grams array<long>")
 
@@ -193,10 +194,11 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, "edges")
+        old, edges = edges, materialize(small, "edges")
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return edges
         state = now
 
 
@@ -205,8 +207,14 @@ def similar(overlap, n1, n2, t: int):
     return (100 + t) * overlap >= t * (n1 + n2)
 
 
+def possible(n1: str, p1: str, n2: str, p2: str, t: int):
+    """Whether sets may be similar whose first common n-gram stands at places p1 and p2 (from 0). A similar pair passes in the block of its first one."""
+    rest = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
+    return similar(rest, F.col(n1), F.col(n2), t)
+
+
 def bounded(pairs: DataFrame, prefix: DataFrame, t: int) -> DataFrame:
-    """Of pairs u, v those whose prefixes allow enough overlap; with the sizes."""
+    """Of pairs u, v those whose prefixes allow enough overlap."""
     a = prefix.select(F.col("node").alias("u"), F.col("n").alias("n1"), F.col("prefix").alias("p1"))
     b = prefix.select(F.col("node").alias("v"), F.col("n").alias("n2"), F.col("prefix").alias("p2"))
     both = pairs.join(a, "u").join(b, "v")
@@ -218,11 +226,52 @@ def bounded(pairs: DataFrame, prefix: DataFrame, t: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """Of pairs u, v those that are similar: partial overlaps by fragment, summed."""
+    """Of pairs u, v those that are similar: partial overlaps by fragment, summed. (A node's fragment may come twice, from repeated rows.)"""
     a = sets.select(F.col("node").alias("u"), F.col("n").alias("n1"), "fragment", F.col("grams").alias("g1"))
     b = sets.select(F.col("node").alias("v"), F.col("n").alias("n2"), "fragment", F.col("grams").alias("g2"))
-    parts = pairs.join(a, "u").join(b, ["v", "fragment"]).select("u", "v", "n1", "n2", F.size(F.array_intersect("g1", "g2")).cast("long").alias("part"))
-    return parts.groupBy("u", "v", "n1", "n2").agg(F.sum("part").alias("overlap")).where(similar(F.col("overlap"), F.col("n1"), F.col("n2"), t)).select("u", "v")
+    parts = pairs.join(a, "u").join(b, ["v", "fragment"]).select("u", "v", "n1", "n2", "fragment", F.size(F.array_intersect("g1", "g2")).cast("long").alias("part"))
+    once = parts.groupBy("u", "v", "n1", "n2", "fragment").agg(F.max("part").alias("part"))
+    return once.groupBy("u", "v", "n1", "n2").agg(F.sum("part").alias("overlap")).where(similar(F.col("overlap"), F.col("n1"), F.col("n2"), t)).select("u", "v")
+
+
+def blocks_of(prefix: DataFrame) -> DataFrame:
+    """x, node, n, pos, hub (n, node, pos of the smallest class) of all n-grams that two or more classes have in their prefixes.
+
+    An n-gram that isn't frequent is in few classes, so a window may hold them; frequent ones are added up first."""
+    each = prefix.select(F.posexplode("prefix").alias("pos", "x"), "node", "n")
+    hub = F.min(F.struct("n", "node", "pos"))
+    light, heavy = each.where(F.col("x") < 1 << BITS), each.where(F.col("x") >= 1 << BITS)
+    light = light.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("x"))).where("many > 1")
+    light = light.withColumn("hub", hub.over(W.partitionBy("x"))).select("x", "node", "n", "pos", "hub")
+    hubs = heavy.groupBy("x").agg(hub.alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    return light.union(heavy.join(hubs, "x").select("x", "node", "n", "pos", "hub"))
+
+
+def unfinished(left: DataFrame, roots: DataFrame) -> DataFrame:
+    """x, node, n, pos, root of blocks whose classes lie in more than one component."""
+    rooted = left.select("x", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("x").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("x")
+    return rooted.join(apart, "x").select("x", "node", "n", "pos", "root")
+
+
+def hubs_of(left: DataFrame, many: int) -> DataFrame:
+    """Up to many classes of each block, dealt by hash, the smallest of each hand."""
+    hand = F.pmod(F.xxhash64("node", "x"), F.lit(many))
+    best = left.groupBy("x", hand.alias("hand")).agg(F.min(F.struct("n", "node", "pos", "root")).alias("hub"))
+    return best.select("x", F.col("hub.node").alias("u"), F.col("hub.n").alias("n1"), F.col("hub.pos").alias("p1"), F.col("hub.root").alias("root1"))
+
+
+def further(left: DataFrame, hubs: DataFrame, tried: DataFrame, t: int) -> DataFrame:
+    """Pairs of hubs with the classes of other components in their block, not tried before."""
+    both = hubs.join(left, (hubs["x"] == left["x"]) & (F.col("root") != F.col("root1")) & possible("n1", "p1", "n", "pos", t))
+    pairs = both.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+    return pairs.join(tried, ["u", "v"], "left_anti")
+
+
+def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, n, a, b, text: of each of nodes the text of one row (or of a few, if rows share a key). A short list is broadcast, a longer one joined."""
+    wanted = materialize(nodes.join(classes, "node").select("key", "node", "n", "a", "b"), "join-wanted")
+    return rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "key").select("node", "n", "a", "b", "text")
 
 
 def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -230,88 +279,62 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     spark, t = docs.sparkSession, percent
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
-    facts = materialize(summarised(rows, size), "join-facts")
-    mine = facts.where("kind = 0").select("doc_id", "key", "n", "a", "b")
-    often = facts.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(MOST_FREQUENT)
-    frequent = np.sort(often.select("a").toArrow().column(0).to_numpy()).astype(np.int64)
-
+    mine = materialize(summarised(rows, size), "join-facts")
     classes = mine.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first_doc"), F.min("key").alias("key"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
-    prefix = prefixes(rows, size, t, frequent).groupBy("n", "a", "b").agg(F.any_value("prefix").alias("prefix"))
-    prefix = materialize(prefix.join(classes, ["n", "a", "b"]).select("node", "n", "prefix"), "join-prefixes")
+    frequent, shift = frequent_grams(rows, size, classes.agg(F.sum("n")).first()[0] or 0)
     release(spark)
 
-    each = prefix.select(F.posexplode("prefix").alias("pos", "x"), "node", "n", F.floor(F.log("n") / F.log(F.lit(100 / t))).cast("int").alias("band"))
-    hub = F.min(F.struct("n", "node", "pos"))
-    light = each.where(F.col("x") < 1 << 62)
-    light = light.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("x"))).where("many > 1")
-    light = light.withColumn("hub", hub.over(W.partitionBy("x", "band"))).select("x", "node", "n", "pos", "hub")
-    heavy = each.where(F.col("x") >= 1 << 62)
-    hubs = heavy.groupBy("x", "band").agg(hub.alias("hub"))
-    heavy = heavy.join(F.broadcast(hubs) if len(frequent) <= MOST_FREQUENT else hubs, ["x", "band"]).select("x", "node", "n", "pos", "hub")
-    blocks = materialize(light.union(heavy), "join-blocks")
+    prefix = prefixes(rows, size, t, frequent, shift).groupBy("n", "a", "b").agg(F.any_value("prefix").alias("prefix"))
+    prefix = materialize(prefix.join(classes, ["n", "a", "b"]).select("node", "n", "prefix"), "join-prefixes")
+    release(spark)
+    left = materialize(blocks_of(prefix), "join-blocks")
     release(spark)
 
-    pairs = blocks.where("node <> hub.node").select(F.col("hub.node").alias("u"), F.col("node").alias("v"), F.col("hub.n").alias("n1"), F.col("hub.pos").alias("p1"), "n", "pos")
-    pairs = materialize(pairs.where(possible("n1", "p1", "n", "pos", t)).select("u", "v").distinct(), "join-pairs")
-    tried, sets, roots = pairs, None, None
-    left = blocks.select("x", "node", "n", "pos")
-    for low, high in ((0, 0), *HUBS):
-        if low:  # blocks in one component, and those whose classes have all served, are done
-            left = materialize(ranked(left, roots).where(F.col("size") > low), "join-left")
-            if left.isEmpty():
-                break
-            pairs = materialize(further(left, tried, low, high, t), "join-pairs")
-            tried = tried.union(pairs)
+    left_over = left.where(F.col("node") != F.col("hub.node"))
+    first = left_over.select("node", "n", "pos", F.col("hub.node").alias("u"), F.col("hub.n").alias("n1"), F.col("hub.pos").alias("p1")).where(possible("n1", "p1", "n", "pos", t))
+    tried = pairs = materialize(first.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct(), "join-pairs")
+    sets = edges = hubs = None
+    many = 1
+    while True:
         good = materialize(bounded(pairs, prefix, t), "join-bounded")
+        if edges is None or not good.isEmpty():
+            nodes = good.select(F.col("u").alias("node")).union(good.select(F.col("v").alias("node"))).distinct()
+            if sets is not None:
+                nodes = nodes.join(sets.select("node").distinct(), "node", "left_anti")
+            more = materialize(fragments(texts_of(nodes, classes, rows), size, frequent, shift), "join-sets")
+            sets = more if sets is None else sets.union(more)
+            links = materialize(linked(good, sets, t), "join-links")
+            if edges is None:
+                edges = components(links)
+            elif not links.isEmpty():
+                old, edges = edges, components(links.union(edges))
+                discard(old)
+            discard(links)
+        discard(good)
+        roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if hubs is not None:  # a class that has served as hub of a block is paired with all others there, so it is left out from now on
+            left_over = left.join(hubs.select("x", F.col("u").alias("node")), ["x", "node"], "left_anti")
+        old, left = left, materialize(unfinished(left_over, roots), "join-left")
+        for done in (old, hubs) if hubs is not None else (old,):
+            discard(done)
         release(spark)
-        if roots is not None and good.isEmpty():
-            continue
-        nodes = good.select(F.col("u").alias("node")).union(good.select(F.col("v").alias("node"))).distinct()
-        if sets is not None:
-            nodes = nodes.join(sets.select("node").distinct(), "node", "left_anti")
-        more = materialize(fragments(texts_of(nodes, classes, rows), size, frequent).dropDuplicates(["node", "fragment"]), "join-sets")
-        sets = more if sets is None else sets.union(more)
-        links = linked(good, sets, t)
-        roots = components(links if roots is None else links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        release(spark)
+        if left.isEmpty():
+            break
+        many *= FASTER
+        hubs = materialize(hubs_of(left, many), "join-hubs")
+        pairs = materialize(further(left, hubs, tried, t), "join-pairs")
+        tried = tried.union(pairs)
 
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     placed = materialize(placed.join(ids, "root").select("n", "a", "b", "component_id"), "join-components")
+    for done in (prefix, left, edges):
+        discard(done)
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return mine.join(placed, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """node, n, a, b, text: of each of nodes the text of one row (or of a few, if rows share a key)."""
-    wanted = nodes.join(classes, "node").select("key", "node", "n", "a", "b")
-    return rows.join(wanted, "key").select("node", "n", "a", "b", "text")
-
-
-def possible(n1: str, p1: str, n2: str, p2: str, t: int):
-    """Whether sets may be similar whose first common n-gram stands at places p1 and p2 (from 0). A similar pair passes in the block of its first one."""
-    rest = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
-    return similar(rest, F.col(n1), F.col(n2), t)
-
-
-def ranked(blocks: DataFrame, roots: DataFrame) -> DataFrame:
-    """x, node, n, pos, root, rank (by set size) and size of blocks whose classes lie in more than one component."""
-    rooted = blocks.select("x", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_ = rooted.groupBy("x").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("x")
-    left = rooted.join(mixed_, "x").select("x", "node", "n", "pos", "root")
-    w = W.partitionBy("x")
-    return left.withColumn("rank", F.row_number().over(w.orderBy("n", "node"))).withColumn("size", F.count(F.lit(1)).over(w))
-
-
-def further(left: DataFrame, tried: DataFrame, low: int, high: int, t: int) -> DataFrame:
-    """Pairs of the blocks' classes of rank low to high with later classes of other components, not tried before."""
-    hubs = left.where(F.col("rank").between(low, high)).select("x", F.col("node").alias("u"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("root").alias("root1"), F.col("rank").alias("rank1"))
-    both = hubs.join(left, (hubs["x"] == left["x"]) & (F.col("rank") > F.col("rank1")) & (F.col("root") != F.col("root1")) & possible("n1", "p1", "n", "pos", t))
-    pairs = both.select("u", F.col("node").alias("v")).distinct()
-    return pairs.join(tried, ["u", "v"], "left_anti")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
