@@ -1,19 +1,26 @@
-"""Boxed bullet renderings of markdown, as Column expressions and windows; the cursor parser of text tables runs by document in Arrow batches."""
+"""Boxed bullet renderings of markdown, as Column expressions and windows."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lathe.functions.text import any_case, col, strip
 from lathe.operators.lines import by_line, doc_lines, ordered
 
 BAR = "━"
-# Lines that are left out, words of note rows, and artefact patterns of cells.
-SKIPPED = ("nơi nhận", "lưu:", "giám đốc", "phó giám đốc", "kt.", "tl.", "người ký", "ngày ký", "cơ quan", "thời gian ký", "email:", "website:", "điện thoại", "fax", "trang ")
+# Words of lines that are left out (the last one only in text without pipe tables), running marks and
+# footers, words of note rows, and artefact patterns of cells.
+SKIPPED = (
+    "người in:", "người ký:", "thời gian", "thủ trưởng", "ban chỉ huy", "ct/tgđ", "email", ".vn", "điện thoại",
+    "ngày in:", "fax:", "địa chỉ:", "tổng công ty", "biểu giá dịch vụ tại cảng",
+)
+PAGE_MARKS, FOOTER = ("[Image on page", "<!-- Page"), ("Biểu giá dịch vụ tại cảng Tân Cảng", "từ ngày")
+REMARKS = ("ghi chú", "chú ý", "lưu ý", "cụ thể")
 NOTES = ("cước", "ghi chú", "chú ý", "lưu ý", "quy định", "được")
 ARTEFACTS = (r"in\s*:\s*$", r"ờ\s*i\s*$", r"ừ.*ng\s*$", r"ịn\s*r\s*T\s*$", r"@\s*k\s*")
 
@@ -161,111 +168,131 @@ def padded(text: Column, n: int) -> Column:
     return F.concat(text, F.repeat(F.lit(" "), F.greatest(F.lit(n) - F.length(text), F.lit(0))))
 
 
-def is_skipped(line: Column | str) -> Column:
-    """PRD11, PRD12."""
-    return F.lower(col(line)).rlike("|".join(map(re.escape, SKIPPED)))
+def mentions(text: Column, words) -> Column:
+    return text.rlike("|".join(map(re.escape, words)))
+
+
+def is_skipped(line: Column | str, markdown: bool = False) -> Column:
+    """PRD11; PRD12 for lines of markdown."""
+    return mentions(F.lower(col(line)), SKIPPED[:-1] if markdown else SKIPPED)
 
 
 def is_marker(line: Column | str) -> Column:
-    """PRD13: page and image markers."""
-    return F.contains(col(line), F.lit("<!-- Page")) | F.contains(col(line), F.lit("<!-- Image"))
+    """PRD13: page and image markers, and the running footer."""
+    return mentions(col(line), PAGE_MARKS) | (F.contains(col(line), F.lit(FOOTER[0])) & F.contains(col(line), F.lit(FOOTER[1])))
 
 
 def is_text_table(text: Column | str) -> Column:
     """PRD14: table titles but no pipe lines."""
-    return col(text).rlike(r"(?iumd)^\s*Bảng\s+\d") & ~col(text).rlike(r"(?md)^\s*\|")
+    return col(text).rlike(r"(?m)^\s*Bảng\s+\d+") & ~col(text).rlike(r"(?m)^\s*\|")
 
 
 def remove_watermark(text: Column | str) -> Column:
-    """BUL11."""
-    out = F.regexp_replace(col(text), r"(?s)Người in/ký:.*?(?=\n\n|\n\p{Lu}|\z)", "")
-    return F.regexp_replace(out, r"(?s)Ngày in:.*?(?=\n\n|\n\p{Lu}|\z)", "")
+    """BUL11: who printed or signed, and when, up to a blank line or a line that begins with a capital (A-Z)."""
+    out = col(text)
+    for begin in (r"Người\s+(?:in|ký)", r"Ngày\s+in"):
+        out = F.regexp_replace(out, rf"(?s){begin}\s*:.*?(?=\n[A-Z]|\n\n|$)", "")
+    return out
+
+
+def in_special_section(line: Column) -> Column:
+    """BUL2: whether a line lies in section 1.1.4, from its heading to the next main section."""
+    mark = F.when(F.contains(line, F.lit("1.1.4")), True).when(line.rlike(r"^\d+\.\d+\.\s+"), False)
+    return F.coalesce(F.last(mark, ignorenulls=True).over(by_line().rowsBetween(W.unboundedPreceding, 0)), F.lit(False))
+
+
+def cleaned_special_section(docs: DataFrame) -> DataFrame:
+    """BUL2: document_id, text without what page breaks left in section 1.1.4: lone row numbers, page heads, repeated column heads; routes in words."""
+    line, text = F.col("line"), strip("line")
+    has = lambda *words: reduce(lambda a, b: a & b, (F.contains(line, F.lit(w)) for w in words))
+    lines = doc_lines(docs).withColumn("special", in_special_section(line))
+    head = F.col("special") & (text == "Phương án làm hàng") & (F.lead(text).over(by_line()) == "TT Loại container")
+    lines = lines.withColumn("head", F.coalesce(head, F.lit(False)))
+    lines = lines.withColumn("again", F.col("head") & (F.sum(F.col("head").cast("int")).over(by_line().rowsBetween(W.unboundedPreceding, 0)) > 1))
+    before = lambda n: F.coalesce(F.lag("again", n).over(by_line()), F.lit(False))
+    repeated = F.col("again") | before(1) | (before(2) & has("Tàu/", "Sà lan"))
+    dropped = repeated | (F.col("special") & ((text == "5") | has("Biểu giá dịch vụ tại cảng", "từ ngày")))
+    routes = F.array(F.lit("Từ tàu hoặc sà lan đến bãi hoặc từ bãi xuống tàu hoặc sà lan"), F.lit("Từ xe xuống bãi hoặc từ bãi lên xe"))
+    kept = F.when(F.col("special") & has("Tàu/", "Sà lan", "Bãi"), routes).otherwise(F.array(line))
+    lines = lines.withColumn("out", F.when(dropped, F.array().cast("array<string>")).otherwise(kept))
+    return lines.groupBy("document_id").agg(F.array_join(F.flatten(ordered("out")), "\n").alias("text"))
+
+
+def rejoined_rows(docs: DataFrame) -> DataFrame:
+    """BUL3: document_id, text with table rows that were wrapped over lines in one line each.
+
+    A line goes to the row above if it has a bar or the next line that isn't blank has one, and nothing in between ended the row."""
+    filled = strip("line") != ""
+    lines = doc_lines(docs).withColumn("starts", F.startswith(strip("line"), F.lit("|")))
+    after = F.first(F.when(filled, F.contains("line", F.lit("|"))), ignorenulls=True).over(by_line().rowsBetween(1, W.unboundedFollowing))
+    ends = ~F.col("starts") & ~(filled & (F.contains("line", F.lit("|")) | F.coalesce(after, F.lit(False))))
+    running = by_line().rowsBetween(W.unboundedPreceding, 0)
+    lines = lines.withColumn("row", F.sum(F.col("starts").cast("int")).over(running)).withColumn("ends", ends.cast("int"))
+    ended = F.sum("ends").over(by_line("row").rowsBetween(W.unboundedPreceding, 0)) > 0
+    lines = lines.withColumn("part", (F.col("row") > 0) & ~ended)
+    # a row's parts share its first line's number; every other line is alone
+    first = F.when(F.col("part"), F.min("line_no").over(W.partitionBy("document_id", "row"))).otherwise(F.col("line_no"))
+    text = F.when(F.col("starts") | ~F.col("part"), F.col("line")).otherwise(strip("line"))
+    joined = lines.withColumn("first", first).withColumn("text", text).groupBy("document_id", "first").agg(F.array_join(ordered("text"), " ").alias("text"))
+    return joined.groupBy("document_id").agg(F.array_join(ordered("text", "first"), "\n").alias("text"))
+
+
+def convert(docs: DataFrame) -> DataFrame:
+    """BUL1: document_id, text: every document by the path that its form asks for."""
+    from lathe.operators.text_tables import text_bullets
+
+    clean = cleaned_special_section(docs)
+    return render_markdown(clean.where(~is_text_table("text"))).unionByName(text_bullets(clean.where(is_text_table("text"))))
+
+
+def plain_line(line: Column | str) -> Column:
+    """BUL4: what a line that is neither heading nor table becomes; null: nothing."""
+    text = strip(line)
+    return (
+        F.when(F.startswith(F.lower(text), F.lit(REMARKS[0])), F.concat(F.lit("┃ ⓘ "), text))
+        .when(text.rlike("^[-*+]"), bullet_line(line))
+        .when(F.startswith(text, F.lit("•")), text)
+        .when(is_skipped(text, markdown=True), F.lit(None))
+        .when(mentions(F.lower(text), REMARKS), F.concat(F.lit("ⓘ "), text))
+        .otherwise(F.concat(F.lit("• "), text))
+    )
+
+
+def title_lines(line: Column | str) -> Column:
+    """BUL4: headings; a table's title is plain text with a bar."""
+    title = strip(F.regexp_replace(strip(line), "^#+", ""))
+    table = F.array(title, F.repeat(F.lit(BAR), F.least(F.length(title) + 2, F.lit(80))), F.lit(""))
+    return F.when(F.startswith(title, F.lit("Bảng")), table).otherwise(heading_lines(line))
 
 
 def render_markdown(docs: DataFrame) -> DataFrame:
-    """BUL4: document_id, text: headings, tables and bullets rendered. Blank lines don't end a table; the first line after a table is left out."""
-    lines = doc_lines(docs).where(~is_marker("line"))
-    text = strip("line")
-    filled = lines.where(text != "").withColumn("pipe", F.startswith(text, F.lit("|")))
-    run = F.row_number().over(by_line()) - F.row_number().over(by_line("pipe"))
-    filled = filled.withColumn("run", run).withColumn("after", F.coalesce(F.lag("pipe").over(by_line()), F.lit(False)))
-    tables = filled.where("pipe").groupBy("document_id", "run").agg(F.min("line_no").alias("line_no"), ordered("line").alias("rows"))
-    tables = tables.select("document_id", "line_no", boxes("rows").alias("out"))
-    others = filled.where(~F.col("pipe") & ~F.col("after") & ~is_skipped("line"))
-    out = F.when(F.startswith(strip("line"), F.lit("#")), heading_lines("line")).otherwise(F.array(bullet_line("line")))
-    both = tables.unionByName(others.select("document_id", "line_no", out.alias("out")))
-    return both.groupBy("document_id").agg(F.array_join(F.flatten(ordered("out")), "\n").alias("text"))
-
-
-def text_table_rows(lines: list[str]) -> list[tuple[str, str, list[str]]]:
-    """BUL15-17, rules A6-A13: (number, description, prices) of a text table's lines; rows may go over several lines."""
-    price = re.compile(r"\d[\d.]*")
-    found = lambda s: [p for p in price.findall(s) if len(p.replace(".", "")) >= 4 or "." in p]
-    worded = re.compile(r"tăng|thỏa thuận|miễn|%|bằng", re.I)
-    stop = re.compile(r"^(?:\d+(?:\.\d+)*\.\s+|(?:ghi chú|lưu ý|chú ý)\s*:|[-•*+]\s)", re.I)
-    letters = re.compile(r"[^\W\d_]")
-    out: list = []
-    held: list[str] = []
-    for line in (x.strip() for x in lines):
-        if not line:
-            continue
-        if stop.match(line):
-            break
-        row = re.match(r"^(\d+)(?:\s+(.*))?$", line)
-        numbers = found(line)
-        if not letters.search(line) and out and len(numbers) >= (3 if out[-1][2] else 1) and not (row and row.group(2) is None and "." not in line):
-            if len(out[-1][2]) >= 4:
-                held = numbers  # given to the next row if that has none
-            else:
-                out[-1][2].extend(numbers)
-        elif row:
-            rest = row.group(2) or ""
-            if out and not out[-1][2] and held:
-                out[-1][2].extend(held)
-                held = []
-            cut = re.match(r"^[^\d]*", rest).group().strip() if found(rest) else rest
-            agreed = re.findall(r"Thỏa thuận", rest)
-            out.append([row.group(1), cut, found(rest) or (agreed if len(agreed) >= 2 else [])])
-        elif out:
-            if worded.search(line) and not out[-1][2]:
-                out[-1][2].append(line)
-            elif numbers and len(out[-1][2]) < 5:
-                out[-1][2].extend(numbers)
-            else:
-                out[-1][1] = f"{out[-1][1]} {line}".strip()
-    if out and not out[-1][2] and held:
-        out[-1][2].extend(held)
-    return [(n, d, p[:5]) for n, d, p in out]
-
-
-def parse_text_tables(blocks: DataFrame) -> DataFrame:
-    """blocks: document_id, text (a block's lines after its title). document_id, row_no, num, description, prices."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(d, i, *r) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, r in enumerate(text_table_rows((t or "").split("\n")))]
-            if rows:
-                d, i, n, s, p = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(i, pa.int32()), pa.array(n), pa.array(s), pa.array(p, pa.list_(pa.string()))], names=["document_id", "row_no", "num", "description", "prices"])
-
-    return blocks.select("document_id", "text").mapInArrow(run, "document_id string, row_no int, num string, description string, prices array<string>")
-
-
-def column_names(size_line: Column | str, type_line: Column | str) -> Column:
-    """BUL14, rule A5: names of price columns from a size line and a type line."""
-    sizes = F.regexp_extract_all(col(size_line), F.lit("(\\d+['\u2019])"), F.lit(1))
-    dry, cold = F.contains(F.lower(col(type_line)), F.lit("khô")), F.contains(F.lower(col(type_line)), F.lit("lạnh"))
-    named = F.transform(sizes, lambda s, i: F.concat_ws(" ", s, F.when(dry & (~cold | (i < 3)), "khô").otherwise("lạnh")))
-    return F.when(F.size(sizes) > 0, named).otherwise(F.array(*(F.lit(f"Price {i}") for i in range(1, 6))))
-
-
-def option_box(num: Column, description: Column, names: Column, values: Column) -> Column:
-    """A14: lines of a text table's row as a box; any price that isn't a number changes the style."""
-    worded = F.exists(values, lambda p: ~p.rlike(r"^\d+[\d.]*$"))
-    width = F.when(worded, 30).otherwise(25)
-    top = F.concat(F.lit("┃ "), F.when(worded, "PHƯƠNG ÁN ").otherwise("TT "), num, F.lit(": "), description)
-    name = lambda i: F.coalesce(F.get(names, i), F.concat(F.lit("Price "), (i + 1).cast("string")))
-    each = F.transform(values, lambda p, i: F.concat(F.lit("┃ • "), name(i), F.repeat(F.lit(" "), F.greatest(width - F.length(name(i)), F.lit(0))), F.lit(" → "), p))
-    return F.concat(F.array(top, F.lit("┣" + BAR * 70)), each, F.array(F.lit("")))
+    """BUL4: document_id, text: headings, tables, notes and bullets rendered.
+
+    Blank lines don't end a table, and the first line after one is left out. A table comes out when it ends, so after the
+    blank lines that follow it; a blank line is kept where the last line that came out isn't blank."""
+    lines = doc_lines(rejoined_rows(docs)).where(~is_marker("line"))
+    text, bar = strip("line"), F.contains("line", F.lit("|"))
+    lines = lines.withColumn("blank", text == "").withColumn("pipe", F.startswith(text, F.lit("|")))
+    so_far = by_line().rowsBetween(W.unboundedPreceding, 0)
+    # a line with a bar inside a table goes to the row above; so lines with bars after a pipe line are of its table
+    inside = F.last(F.when(~F.col("blank") & (F.col("pipe") | ~bar), F.col("pipe")), ignorenulls=True).over(so_far)
+    lines = lines.withColumn("table", F.coalesce(inside, F.lit(False)) & ~F.col("blank"))
+    filled = lines.where(~F.col("blank"))
+    after = F.coalesce(F.lag("table").over(by_line()), F.lit(False)) & ~F.col("table")
+    filled = filled.withColumn("after", after).withColumn("run", F.sum((~F.col("table")).cast("int")).over(so_far))
+    next_line = F.first(F.when(~F.col("table"), F.col("line_no")), ignorenulls=True).over(by_line().rowsBetween(1, W.unboundedFollowing))
+    filled = filled.withColumn("until", next_line).withColumn("row", F.sum(F.col("pipe").cast("int")).over(so_far))
+    rows = filled.where("table").groupBy("document_id", "run", "row").agg(F.min("until").alias("until"), F.array_join(ordered(F.when(F.col("pipe"), F.col("line")).otherwise(text)), " ").alias("line"))
+    tables = rows.groupBy("document_id", "run").agg(F.min("until").alias("until"), ordered("line", "row").alias("rows"))
+    never = F.lit(2**31 - 1)
+    parts = [
+        tables.select("document_id", F.coalesce("until", never).alias("at"), F.lit(0).alias("late"), boxes("rows").alias("out")),
+        filled.where(~F.col("table") & ~F.col("after")).select("document_id", F.col("line_no").alias("at"), F.lit(1).alias("late"), F.when(F.startswith(text, F.lit("#")), title_lines("line")).otherwise(F.filter(F.array(plain_line("line")), lambda x: x.isNotNull())).alias("out")),
+        lines.where("blank").select("document_id", F.col("line_no").alias("at"), F.lit(1).alias("late"), F.lit(None).cast("array<string>").alias("out")),
+    ]
+    both = reduce(DataFrame.unionByName, parts).where("out is null or size(out) > 0")
+    before = F.lag(F.coalesce(F.element_at("out", -1), F.lit(""))).over(W.partitionBy("document_id").orderBy("at", "late"))
+    both = both.withColumn("before", before).withColumn("out", F.coalesce("out", F.when(F.col("before") != "", F.array(F.lit("")))))
+    return both.where("out is not null").groupBy("document_id").agg(F.array_join(F.flatten(ordered("out", F.struct("at", "late"))), "\n").alias("text"))
+
 

@@ -12,24 +12,33 @@ from pyspark.sql import functions as F
 from lathe.functions.text import col, escape_html, strip
 
 
-def csv_cells(line: Column | str) -> Column:
-    """SRC9: fields of a CSV line, double quotes removed and doubled ones undone."""
-    fields = F.regexp_extract_all(F.concat(F.lit(","), col(line)), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    return F.transform(fields, lambda f: F.when(f.rlike('^".*"$'), F.replace(F.substring(f, 2, F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+def csv_rows(text: Column | str) -> Column:
+    """SRC9: rows of fields of CSV text; quoted fields may hold commas, doubled quotes and line breaks. Empty lines are left out."""
+    fields = F.regexp_extract_all(F.concat(F.lit("\n"), F.regexp_replace(col(text), "\r\n?", "\n")), F.lit(r'([,\n](?:"(?:[^"]|"")*+"[^,\n]*|[^,\n]*))'), F.lit(1))
+    value = lambda f: F.when(f.rlike('(?s)^"'), F.replace(F.regexp_replace(F.substring(f, 2, F.length(f)), r'(?s)"([^"]*)$', "$1"), F.lit('""'), F.lit('"'))).otherwise(f)
+    place = lambda f: F.struct(F.startswith(f, F.lit("\n")).alias("first"), value(F.substring(f, 2, F.length(f))).alias("value"))
+    return F.filter(rows_from(F.transform(fields, place)), lambda r: (F.size(r) > 1) | (F.get(r, F.lit(0)) != ""))
+
+
+def rows_from(fields: Column) -> Column:
+    """Fields (first, value) cut into rows before those that are first: slices between their places."""
+    starts = F.filter(F.transform(fields, lambda f, i: F.when(f["first"], i + 1)), lambda i: i.isNotNull())
+    values = F.transform(fields, lambda f: f["value"])
+    return F.transform(starts, lambda s, k: F.slice(values, s, F.coalesce(F.get(starts, k + 1), F.size(values) + 1) - s))
 
 
 def html_table(rows: Column | str) -> Column:
     """HTM2: an HTML table of rows of cells; the first is the header. No rows: null."""
     rows = col(rows)
-    cells = lambda r, tag: F.array_join(F.transform(r, lambda c: F.concat(F.lit(f"<{tag}>"), escape_html(strip(c)), F.lit(f"</{tag}>"))), "")
-    head = F.concat(F.lit("<thead><tr>"), cells(F.get(rows, F.lit(0)), "th"), F.lit("</tr></thead>"))
-    body = F.array_join(F.transform(F.slice(rows, 2, F.size(rows)), lambda r: F.concat(F.lit("<tr>"), cells(r, "td"), F.lit("</tr>"))), "")
-    return F.when(F.size(rows) > 0, F.concat(F.lit("<table>"), head, F.lit("<tbody>"), body, F.lit("</tbody></table>")))
+    cells = lambda r, tag: F.concat(F.lit("<tr>\n"), F.array_join(F.transform(r, lambda c: F.concat(F.lit(f"  <{tag}>"), escape_html(strip(c)), F.lit(f"</{tag}>\n"))), ""), F.lit("</tr>\n"))
+    head = F.concat(F.lit("<thead>\n"), cells(F.get(rows, F.lit(0)), "th"), F.lit("</thead>\n"))
+    body = F.array_join(F.transform(F.slice(rows, 2, F.size(rows)), lambda r: cells(r, "td")), "")
+    return F.when(F.size(rows) > 0, F.concat(F.lit('<table class="csv-table">\n'), head, F.lit("<tbody>\n"), body, F.lit("</tbody>\n</table>")))
 
 
 def csv_to_html(text: Column | str) -> Column:
-    """HTM2: of CSV text without line breaks in fields."""
-    return html_table(F.transform(F.filter(F.split(F.regexp_replace(col(text), "\r\n?", "\n"), "\n"), lambda x: x != ""), csv_cells))
+    """HTM2: of CSV text."""
+    return html_table(csv_rows(text))
 
 
 def document_shell(body: Column | str, title: Column | str = "Document", author: Column | None = None, description: Column | None = None, stamp: Column | None = None) -> Column:

@@ -7,8 +7,10 @@ from lathe.functions import text as X
 from lathe.operators import bullets as B
 from lathe.operators import chunks as C
 from lathe.operators import html as H
+from lathe.operators import pdf as P
 from lathe.operators import split as S
 from lathe.operators import tables as TB
+from lathe.operators import text_tables as TT
 from lathe.plans.rules import schema, schemas
 from lathe.sources import store
 
@@ -83,9 +85,79 @@ def test_prices(spark):
     assert (got.text, got.prices) == ("Tầng", ["497.000"])
 
 
-def test_text_table_rows():
-    got = B.text_table_rows(["1 Nâng 497.000 500.000", "container", "2 Hạ", "thỏa thuận", "Ghi chú: x", "3 nữa 1.000"])
-    assert got == [("1", "Nâng container", ["497.000", "500.000"]), ("2", "Hạ", ["thỏa thuận"])]
+def table_rows(spark, text):
+    got = TT.parse_text_tables(docs(spark, text)).orderBy("row_no").collect()
+    return [(r.num, r.description, r.prices) for r in got]
+
+
+def test_text_table_rows(spark):
+    """Each rule of the row grammar once: headers skipped, rows without a number, prices before their row, agreed and worded prices, five at most."""
+    heads = "Bảng 02 Đơn vị tính: đồng/container\nContainer khô Container lạnh\nTT Phương án làm hàng\n20' 40' 45' 20' 40' & 45'\n"
+    five = "1.000 2.000 3.000 4.000 5.000"
+    assert table_rows(spark, heads + f"1 Xe Bãi {five} 6.000\n2\nHạ container\nxuống đất\ntheo quy định chung\n{five}") == [("1", "Xe Bãi", five.split()), ("2", "Hạ container xuống đất", five.split())]
+    assert table_rows(spark, heads + f"Giao hàng\nquá cảnh\n{five}\nNhận hàng\nMiễn phụ thu") == [("1", "Giao hàng quá cảnh", five.split()), ("2", "Nhận hàng", ["Miễn phụ thu"])]
+    assert table_rows(spark, f"T\n1 A {five}\n7.000 7.001 7.002 7.003\n2 B\n3 C\n") == [("1", "A", five.split()), ("2", "B", ["7.000", "7.001", "7.002", "7.003"]), ("3", "C", [])]
+    assert table_rows(spark, "T\n1 OOG nhóm 2 (**) Thỏa thuận Thỏa thuận\n2 IMDG\nTăng 50% đơn giá\nhàng thông thường\nTăng 100%\n3 D Thỏa thuận") == [("1", "OOG nhóm 2 (**)", ["Thỏa thuận"] * 2), ("2", "IMDG", ["Tăng 50% đơn giá hàng thông thường", "Tăng 100%"]), ("3", "D Thỏa thuận", [])]
+    assert table_rows(spark, "T\n1 A 1.000 2.000\n3.000 4.000 5.000\n2\nB\nBằng 10% giá\n- x\n9 E 1.000") == [("1", "A", ["1.000", "2.000", "3.000", "4.000", "5.000"]), ("2", "B - x 9 E 1.000", ["Bằng 10% giá"])]
+    assert table_rows(spark, "T\n1 A 1.000\nGhi chú: hết\n2 B 2.000") == [("1", "A", ["1.000"])]
+    assert table_rows(spark, "T\n1 A 1.000\n1.2. Mục\n2 B 2.000") == [("1", "A", ["1.000"])]
+
+
+def test_column_names():
+    assert TT.column_names("Container khô Container lạnh", "20' 40' 45' 20' 40' & 45'") == ["Container khô 20'", "Container khô 40'", "Container khô 45'", "Container lạnh 20'", "Container lạnh 40' & 45'"]
+    assert TT.column_names("Container khô", "20\u2019 40'") == ["Container khô 20\u2019", "Container khô 40'"]
+    assert TT.column_names("", "") == [f"Price {i}" for i in range(1, 6)]
+    assert TT.column_names("", "Tàu/ Sà lan \uf0f3 Bãi  Xe \uf0f3 Bãi") == ["Tàu/ Sà lan Bãi", "Xe Bãi"]
+    assert TT.column_names("", "Xe") == ["Xe", "Bãi"]
+
+
+@pytest.mark.parametrize(("line", "want"), [("Từ xe xuống bãi", True), ("Xe ↔ Bãi", True), ("Container khô và Container lạnh", True), ("Loại hàng", True), ("Đơn vị tính: đồng", True), ("20' 40' 45'", True), ("40' &", True), ("1 Xe ↔ Bãi", False), ("Xe Bãi 1.000", False), ("Container khô", False), ("Giá loại hàng", False)])
+def test_header_lines(spark, line, want):
+    assert one(spark, TT.is_header_line("text"), line) is want
+
+
+@pytest.mark.parametrize(("line", "path", "want"), [("Tổng công ty A", "text", True), ("Địa chỉ: 1", "text", True), ("www.abc.vn", "text", True), ("Người in: x", "text", True), ("trang 3", "text", False), ("Giám đốc", "text", False), ("Biểu giá dịch vụ tại cảng X", "text", True), ("Biểu giá dịch vụ tại cảng X", "markdown", False), ("EMAIL a@b", "markdown", True)])
+def test_skipped_lines(spark, line, path, want):
+    assert one(spark, B.is_skipped("text", path == "markdown"), line) is want
+
+
+def test_markers_and_watermarks(spark):
+    marks = [("[Image on page 3]", True), ("<!-- Page 2 -->", True), ("<!-- Image -->", False), ("Biểu giá dịch vụ tại cảng Tân Cảng từ ngày 1", True), ("từ ngày 1", False)]
+    assert all(one(spark, B.is_marker("text"), t) is w for t, w in marks)
+    for text, want in [("a\nNgười in: x\ny\nB", "a\n\nB"), ("Người ký: z", ""), ("Ngày in: 1/2\n\nc", "\n\nc"), ("Người in/ký: a\nB", "Người in/ký: a\nB")]:
+        assert one(spark, B.remove_watermark("text"), text) == want
+    spans = [("DRAFT v2", True), ("internal use only", True), ("Do Not Copy", True), ("Hợp đồng_Approved", True), ("copy", False), ("mật", False), ("bản nháp", False)]
+    assert all(one(spark, P.is_watermark("text"), t) is w for t, w in spans)
+
+
+def test_rejoined_rows(spark):
+    text = "a\n| 1 | x\ny |\n| 2 |\nz\n\n| 3 |\nlast\nend"
+    assert B.rejoined_rows(docs(spark, text)).first().text == "a\n| 1 | x y |\n| 2 | z\n\n| 3 |\nlast\nend"
+
+
+def test_special_section(spark):
+    head = "Phương án làm hàng\nTT Loại container\nTàu/ Sà lan  Bãi"
+    text = f"{head}\n5\n1.1.4. Phụ thu\n5\n{head}\nx\n{head}\nBiểu giá dịch vụ tại cảng từ ngày 1\n1.2. Khác\n5"
+    routes = "Từ tàu hoặc sà lan đến bãi hoặc từ bãi xuống tàu hoặc sà lan\nTừ xe xuống bãi hoặc từ bãi lên xe"
+    want = f"{head}\n5\n1.1.4. Phụ thu\nPhương án làm hàng\nTT Loại container\n{routes}\nx\n1.2. Khác\n5"
+    assert B.cleaned_special_section(docs(spark, text)).first().text == want
+
+
+def test_text_bullets(spark):
+    bar, line = "━" * 80, "┣" + "━" * 70
+    text = "Mở đầu\n\n1. Đối tượng\n- một\nEmail: a\nBảng 02 Đơn vị tính: đồng\nContainer khô Container lạnh\n20' 40'\n1 Xe 1.000 2.000\n2\nHạ\nTăng 5%\nGhi chú: hết\n1.1.4. Phụ thu\na. Một\nhai"
+    want = ["• Mở đầu", "", "", "1. Đối tượng", bar, "- một", "Bảng 02", bar, "", "┃ TT 1: Xe", line, f"┃ • {'Container khô 20' + chr(39):25} → 1.000", f"┃ • {'Container khô 40' + chr(39):25} → 2.000", "", "┃ PHƯƠNG ÁN 2: Hạ", line, f"┃ • {'Container khô 20' + chr(39):30} → Tăng 5%", "", "Ghi chú: hết", bar, "", "1.1.4. Phụ thu", bar, "• a. Một", "hai"]
+    assert B.convert(docs(spark, text)).first().text.split("\n") == want
+    untitled = "Phương án làm hàng\nTT Loại\n1 A 1.000\nb. Sau"
+    assert TT.text_bullets(docs(spark, untitled)).first().text.split("\n") == ["Phương án làm hàng", bar, "", "┃ TT 1: A", line, f"┃ • {'Price 1':25} → 1.000", "", "• b. Sau"]
+
+
+def test_render_markdown(spark):
+    bar = "━" * 80
+    text = "# T\n\n\nchữ\nGhi chú: a\nxem lưu ý\nEmail: x\n* m\n## Bảng 1\n| Phương án | Giá |\n|---|---|\n| | 20' |\n| A | 5 |\n\nbỏ\nsau\n<!-- Page 1 -->"
+    want = ["T", bar, "", "• chữ", "┃ ⓘ Ghi chú: a", "ⓘ xem lưu ý", "•  m".replace("  ", " "), "Bảng 1", "━" * 8, "", "┃ PHƯƠNG ÁN A", "┣" + "━" * 70, f"┃ • {'Giá 20' + chr(39):25} → 5", "", "• sau"]
+    assert B.render_markdown(docs(spark, text)).first().text.split("\n") == want
+    assert B.render_markdown(docs(spark, "")).first().text == ""
 
 
 def test_merge_and_budget(spark):
