@@ -21,11 +21,10 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 STYLES = {"Heading1": "# ", "Heading2": "## ", "Heading3": "### ", "Title": "# "}
 
 
-def binary_files(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
     """SRC1: path, suffix, length, modificationTime, content of every file below path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
-    return files.where(F.col("length") <= most_bytes) if most_bytes else files
+    return files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +72,7 @@ def decoded(suffix: str, raw: bytes) -> str:
 
 
 def read_documents(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
-    """document_id, path, text, error: one of text and error is null. PRD16, PRD17: empty texts are errors too. A bad file never stops the job."""
+    """document_id, path, text, error: one of text and error is null. PRD16, PRD17: empty texts are errors too, and files above most_bytes, whose content isn't read. A bad file never stops the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,8 +88,12 @@ def read_documents(spark: SparkSession, path: str, most_bytes: int | None = None
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "text", "error"])
 
-    files = binary_files(spark, path, most_bytes).select("path", "suffix", "content")
-    return files.mapInArrow(run, "path string, text string, error string").select(document_id("path").alias("document_id"), "path", "text", "error")
+    files = binary_files(spark, path)
+    long = F.col("length") > (most_bytes if most_bytes is not None else 2**63 - 1)
+    found = files.where(~long).select("path", "suffix", "content").mapInArrow(run, "path string, text string, error string")
+    if most_bytes is not None:
+        found = found.unionByName(files.where(long).select("path", F.lit(None).cast("string").alias("text"), F.concat(F.lit("too long: "), F.col("length").cast("string"), F.lit(" bytes")).alias("error")))
+    return found.select(document_id("path").alias("document_id"), "path", "text", "error")
 
 
 def clean_docx(raw: bytes) -> bytes:

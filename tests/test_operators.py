@@ -195,3 +195,18 @@ def test_store(spark, tmp_path):
     assert s.delete_document("doc_0") and not s.delete_document("doc_0")
     assert [r.document_id for r in s.chunks().collect()] == ["doc_1"]
     assert store.search(s.chunks(), chunk_type="article", metadata={"heading": "Điều 2"}).count() == 1
+    s.compact()
+    assert [(r.document_id, r.content) for r in s.chunks().collect()] == [("doc_1", "b")] and s.chunks("doc_1", 1).count() == 1
+
+
+def test_store_leaves_no_stale_chunks(spark, tmp_path):
+    """A document saved again has the new chunks only, whatever levels it had; one without chunks has none; a save without its note doesn't count."""
+    s, schema_ = store.Store(spark, str(tmp_path / "store")), "document_id string, chunk_id string, level int"
+    s.save_chunks(spark.createDataFrame([("d1", "a", 1), ("d1", "b", 2), ("d2", "c", 2), ("d3", "e", 1)], schema_))
+    s.save_chunks(spark.createDataFrame([("d1", "n", 1)], schema_))
+    s.save_chunks(spark.createDataFrame([], schema_), spark.createDataFrame([("d3",)], "document_id string"))
+    assert sorted(r.chunk_id for r in s.chunks().collect()) == ["c", "n"]
+    spark.createDataFrame([("d2", "torn", 1)], schema_).withColumn("prefix", store.prefix("document_id")).write.partitionBy("prefix", "level").parquet(str(tmp_path / "store/chunks/save=9223372036854775807"))
+    assert sorted(r.chunk_id for r in s.chunks().collect()) == ["c", "n"] and s.chunks("d2").count() == 1
+    s.compact()
+    assert sorted(r.chunk_id for r in s.chunks().collect()) == ["c", "n"] and s.chunks("d1", 2).count() == 0

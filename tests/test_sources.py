@@ -31,10 +31,21 @@ def test_readers(spark, tmp_path):
     with zipfile.ZipFile(io.BytesIO(cleaned["c.docx"].content)) as z:
         assert b"secret" not in z.read("word/header1.xml")
     assert readers.list_files(spark, str(tmp_path)).count() == 6
+    bounded = {r.path.rsplit("/", 1)[1]: r for r in readers.read_documents(spark, str(tmp_path), most_bytes=20).collect()}
+    assert len(bounded) == 6 and bounded["c.docx"].error.startswith("too long") and bounded["a.md"].text
 
 
 def test_ingest(spark, tmp_path):
-    spark.createDataFrame([("doc_1", "regulation", "Điều 1\nnội dung")], SCHEMA).write.parquet(str(tmp_path / "in"))
-    ingest(stream_documents(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "ck"), "regulation").awaitTermination(120)
+    """Documents of other types are quarantined, not lost; a later batch replaces a document; a second run finds nothing new."""
+    def arrive(name, *rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest(stream_documents(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "ck"), "regulation").awaitTermination(120)
+
+    arrive("one", ("doc_1", "regulation", "Điều 1\nnội dung"), ("doc_2", "pricing", "x"), ("doc_3", None, "y"))
     store = Store(spark, str(tmp_path / "store"))
     assert [(r.chunk_id, r.content) for r in store.chunks("doc_1", 1).collect()] == [("doc_1_section_0", "nội dung")]
+    assert sorted((r.document_id, r.error) for r in spark.read.parquet(str(tmp_path / "store/quarantine")).collect()) == [("doc_2", "no schema here for pricing"), ("doc_3", "no schema here for null")]
+    arrive("two", ("doc_1", "regulation", "Điều 1\nmới"))
+    assert [r.content for r in store.chunks("doc_1", 1).collect()] == ["mới"] and [r.document_id for r in store.documents().collect()] == ["doc_1"]
+    arrive("three", ("doc_4", "pricing", "z"))
+    assert spark.read.parquet(str(tmp_path / "store/quarantine")).count() == 3
