@@ -3,9 +3,8 @@
 A task packs its own documents, group by group, without a shuffle. Whole windows are cut off long documents first.
 The rests of a group (about `group` windows' worth) are dealt to k windows by multiway differencing: every item is a
 partial partition of k loads; the two with the largest spread are merged, the heaviest window of one onto the lightest
-of the other, until one partition is left, whose windows are near-equal. Where the fullest window passes the capacity by
-more than `most_cut` tokens, k rises and the group is dealt anew. What then still stands out above the capacity is cut
-off and fills the rests of windows below it; with most_cut=0 nothing is cut and k rises until all windows hold.
+of the other, until one partition is left, whose windows are near-equal. k is the least number that could hold the
+group; whenever a window passes the capacity, k rises and the group is dealt anew. So a rest is never cut.
 
 A piece's sequence_id is unique over the table: task number and window number. Nulls: a null text is empty (its
 document is the end id alone); a null doc_id is packed like any other. Repeated rows are separate documents. No rows give
@@ -78,46 +77,20 @@ def _dense(loads, nodes, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(loads + [0] * pad, dtype=np.int64), np.array(nodes + [-1] * pad, dtype=np.int64)
 
 
-def pack_group(sizes: list[int], capacity: int, most_cut: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, from, to), none above the capacity; items are cut only where differencing left a window above it."""
-    total = sum(sizes)
-    k = max(1, -(-total // capacity))
+def pack_group(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Windows of item numbers, none above the capacity; every item must be within it."""
+    k = max(1, -(-sum(sizes) // capacity))
     while True:
         dealt = differencing(sizes, k)
-        if max(sum(sizes[i] for i in w) for w in dealt) <= capacity + most_cut:
-            break
+        if max(sum(sizes[i] for i in w) for w in dealt) <= capacity:
+            return [w for w in dealt if w]
         k += 1
-    windows, over = [], []
-    for w in dealt:
-        pieces, room = [], capacity
-        for i in sorted(w, key=sizes.__getitem__):
-            n = min(sizes[i], room)
-            if n:
-                pieces.append((i, 0, n))
-            if n < sizes[i]:
-                over.append((i, n, sizes[i]))
-            room -= n
-        windows.append([room, pieces])
-    free = iter(sorted(windows, key=lambda w: -w[0]))
-    at = next(free, None)
-    for i, a, b in sorted(over, key=lambda o: o[1] - o[2]):
-        while a < b:
-            while at is not None and not at[0]:
-                at = next(free, None)
-            if at is None:  # no room is left: one window more
-                at = [capacity, []]
-                windows.append(at)
-            n = min(b - a, at[0])
-            at[1].append((i, a, a + n))
-            at[0] -= n
-            a += n
-    return [p for _, p in windows if p]
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_tokens(rows: DataFrame, capacity: int = 2048, group: int = 128, most_cut: int = 512) -> DataFrame:
+def pack_tokens(rows: DataFrame, capacity: int = 2048, group: int = 128) -> DataFrame:
     """rows: doc_id, ids (binary of unsigned 32-bit ids). A row a piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +101,12 @@ def pack_tokens(rows: DataFrame, capacity: int = 2048, group: int = 128, most_cu
 
         def deal() -> None:
             nonlocal sequence, held, tokens
-            for window in pack_group([len(h[2]) // 4 for h in held], capacity, most_cut) if held else []:
+            for window in pack_group([len(h[2]) // 4 for h in held], capacity) if held else []:
                 offset = 0
-                for i, a, b in window:
+                for i in window:
                     doc, start, ids, n = held[i]
-                    out.append((doc, start + a, b - a, ids[4 * a : 4 * b], n, sequence, offset))
-                    offset += b - a
+                    out.append((doc, start, len(ids) // 4, ids, n, sequence, offset))
+                    offset += len(ids) // 4
                 sequence += 1
             held, tokens = [], 0
 
@@ -167,7 +140,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, most_cuts: int = 500_000, **options) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, most_cuts: int = 300_000, **options) -> DataFrame:
     """most_cuts bounds the cache of each worker's encoder; it changes no result."""
     return pack_tokens(token_table(docs, path or tokenizer_path(), end_id, most_cuts=most_cuts), **options)
 
