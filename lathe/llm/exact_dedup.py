@@ -2,9 +2,10 @@
 
 1. Each task turns its texts into bytes and inserts them into a trie of its own, so a copy leaves a task once, with
    the smallest identifier and the count of the task's copies (a hot group is thus added up before the shuffle).
-2. Rows go to owners by length and content hash. An owner inserts the full byte strings into compressed radix tries;
-   equality is decided there, by every byte, never by the hash. Terminal nodes keep the smallest identifier and the
-   count. Beyond a byte budget the largest subtree goes to a spill file and is built again alone at the end.
+2. Rows go to owners by length and content hash. An owner inserts the full byte strings of the texts into compressed
+   radix tries, where texts share what they begin with; equality is decided there, by every byte, never by the hash.
+   Terminal nodes keep the smallest identifier and the count. Beyond a byte budget the largest subtree goes to a spill
+   file; at the end it is built again alone, below the prefix that all its texts share, under the same budget.
 3. The owners' short rows are joined back to the documents by length and SHA-256 of the text.
 
 Identifiers are ordered by a sign: keep="smallest" or "largest" (which stores the smallest of the negated ones).
@@ -15,9 +16,12 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,21 +93,26 @@ class Patricia:
 
 
 class Owner:
-    """Tries of one owner by (length, hash) and the first byte below, with a byte budget."""
+    """Subtrees of texts that share their first `depth` bytes, by the next byte, within a byte budget."""
 
-    def __init__(self, budget: int) -> None:
-        self.budget, self.held = budget, 0
+    def __init__(self, budget: int, depth: int = 0) -> None:
+        self.budget, self.depth, self.held = budget, depth, 0
+        self.prefix, self.end = b"", None
         self.tries: dict[int, Patricia] = {}
-        self.spilled: dict[int, object] = {}
+        self.spilled: dict[int, BinaryIO] = {}
 
-    def insert(self, key: bytes, text: bytes, ident: int, count: int) -> None:
-        sub = key[-1]  # subtrees are cut by the last byte of the owner key, which is the hash's
+    def insert(self, text: bytes, ident: int, count: int) -> None:
+        self.prefix = text[: self.depth]
+        if len(text) == self.depth:
+            self.end = (min(self.end[0], ident), self.end[1] + count) if self.end else (ident, count)
+            return
+        sub = text[self.depth]
         if sub in self.spilled:
-            pickle.dump((key + text, ident, count), self.spilled[sub])
+            pickle.dump((text, ident, count), self.spilled[sub])
             return
         trie = self.tries.setdefault(sub, Patricia())
         before = trie.bytes
-        trie.insert(key + text, ident, count)
+        trie.insert(text[self.depth :], ident, count)
         self.held += trie.bytes - before
         if self.held > self.budget:
             self._spill(max(self.tries, key=lambda s: self.tries[s].bytes))
@@ -112,20 +121,30 @@ class Owner:
         trie = self.tries.pop(sub)
         self.held -= trie.bytes
         out = self.spilled[sub] = tempfile.TemporaryFile()
-        for item in trie.items():
-            pickle.dump(item, out)
+        for rest, ident, count in trie.items():
+            pickle.dump((self.prefix + rest, ident, count), out)
 
     def items(self) -> Iterator[tuple[bytes, int, int]]:
+        """(text, smallest identifier, count) of every terminal node; can be read once."""
+        if self.end:
+            yield self.prefix, *self.end
         for sub in list(self.tries):
-            yield from self.tries.pop(sub).items()
+            for rest, ident, count in self.tries.pop(sub).items():
+                yield self.prefix + rest, ident, count
         for sub in list(self.spilled):
-            trie, file = Patricia(), self.spilled.pop(sub)
-            end = file.tell()
-            file.seek(0)
-            while file.tell() < end:
-                trie.insert(*pickle.load(file))
-            file.close()
-            yield from trie.items()
+            with self.spilled.pop(sub) as file:
+                shared = reduce(lambda a, b: os.path.commonprefix([a, b]), (text for text, _, _ in unpickled(file)))
+                below = Owner(self.budget, max(self.depth + 1, len(shared)))
+                for item in unpickled(file):
+                    below.insert(*item)
+            yield from below.items()
+
+
+def unpickled(file: BinaryIO) -> Iterator[tuple[bytes, int, int]]:
+    end = file.seek(0, os.SEEK_END)
+    file.seek(0)
+    while file.tell() < end:
+        yield pickle.load(file)
 
 
 def sha256(data: bytes) -> bytes:
@@ -137,10 +156,6 @@ def sha256(data: bytes) -> bytes:
 ROWS = "length long, hash binary, text binary, ident long, n long"
 
 
-def owner_key(length: int, digest: bytes) -> bytes:
-    return length.to_bytes(8, "big") + digest
-
-
 def local_texts(sign: int, digest: Callable[[bytes], bytes], chunk: int = 32 << 20) -> Callable:
     """Of each chunk of a task's texts, one row a distinct text."""
 
@@ -150,9 +165,8 @@ def local_texts(sign: int, digest: Callable[[bytes], bytes], chunk: int = 32 <<
         def flush() -> Iterator[pa.RecordBatch]:
             rows: list = []
             size = 0
-            for key, ident, n in trie.items():
-                text = key[40:]
-                rows.append((len(text), key[8:40], text, ident, n))
+            for text, ident, n in trie.items():
+                rows.append((len(text), digest(text), text, ident, n))
                 size += len(text)
                 if size > 4 << 20:
                     yield pack(rows)
@@ -163,7 +177,7 @@ def local_texts(sign: int, digest: Callable[[bytes], bytes], chunk: int = 32 <<
         for b in slices(batches, "text"):
             for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass").lower()
-                trie.insert(owner_key(len(raw), digest(raw).ljust(32, b"\0")) + raw, NO_ID if ident is None else sign * ident)
+                trie.insert(raw, NO_ID if ident is None else sign * ident)
             if trie.bytes > chunk:
                 yield from flush()
                 trie = Patricia()
@@ -181,11 +195,11 @@ def owners(budget: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = Owner(budget)
         for b in batches:
-            for length, digest, text, ident, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                owner.insert(owner_key(length, digest), text, NO_ID if ident is None else ident, n)
+            for text, ident, n in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                owner.insert(text, NO_ID if ident is None else ident, n)
         rows: list = []
-        for key, ident, n in owner.items():
-            rows.append((int.from_bytes(key[:8], "big"), sha256(key[40:]).hex(), None if ident == NO_ID else ident, n))
+        for text, ident, n in owner.items():
+            rows.append((len(text), sha256(text).hex(), None if ident == NO_ID else ident, n))
             if len(rows) >= 50_000:
                 yield told(rows)
                 rows = []
