@@ -8,7 +8,7 @@
 4. Archives are read back member by member through the index.
 
 Nulls: a null html is an empty payload; a null page_id is written as an empty header, read back as null, and comes
-before all others when the response is chosen. Equal (page_id, html) rows: one of them is the response. An empty table
+before all others when the response is chosen; where all ids of a group are null, so is refers_to. Equal (page_id, html) rows: one of them is the response. An empty table
 writes nothing and gives no rows; other columns are ignored.
 """
 
@@ -127,19 +127,17 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
 
 def decide(records: DataFrame, least: int = 0) -> DataFrame:
     """file, ord, refers_to, revisit: which records repeat another's payload, and whose (the largest page_id's)."""
-    place = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"), "file", "ord")
+    place = F.struct("page_id", "file", "ord")  # nulls come first
     best = records.groupBy("payload_bytes", "sha256").agg(F.max(place).alias("best"))
     both = records.withColumn("place", place).join(best, ["payload_bytes", "sha256"])
-    revisit = (F.col("payload_bytes") >= least) & (F.col("place") != F.col("best"))
+    revisit = (F.col("payload_bytes") >= least) & ~F.col("place").eqNullSafe(F.col("best"))
     return both.select("file", "ord", F.when(revisit, F.col("best.page_id")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def normalise(decisions: DataFrame, folder: str) -> DataFrame:
-    """Rewrites each monolithic archive once, a member a record; returns archive, index, n of each."""
+    """Rewrites each monolithic archive once, a member a record; returns archive, index, n of each. Archives are dealt to tasks by file, whatever the size of their decisions' rows."""
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        file = key[0].as_py()
-        part = {o: (r, v) for o, r, v in zip(*(group.column(c).to_pylist() for c in ("ord", "refers_to", "revisit")), strict=True)}
+    def rewrite(file: str, revisits: dict[int, int | None]) -> pa.RecordBatch:
         name = file.rsplit("/", 1)[1].replace("mono-", "part-")
         out, index = AtomicFile(f"{folder}/{name}"), AtomicFile(f"{folder}/{name}.idx")
         records, ord_ = Records(), -1
@@ -147,14 +145,12 @@ def normalise(decisions: DataFrame, folder: str) -> DataFrame:
             for head, body in records.feed(data):
                 kind = head.pop("WARC-Type")
                 head.pop("Content-Length")
-                refers = b""
                 if kind == "response":
                     ord_ += 1
-                    refers_to, revisit = part.get(ord_, (None, False))
                     head["X-Payload-Length"] = str(len(body))
-                    if revisit:
-                        kind, body, refers = "revisit", b"", str(refers_to).encode()
-                        head |= {"WARC-Profile": REVISIT, "WARC-Refers-To": f"<urn:lathe:page:{refers_to}>"}
+                    if ord_ in revisits:
+                        kind, body, of = "revisit", b"", revisits[ord_]
+                        head |= {"WARC-Profile": REVISIT, "WARC-Refers-To": f"<urn:lathe:page:{'' if of is None else of}>"}
                 deflate = zlib.compressobj(6, zlib.DEFLATED, GZIP)
                 member = deflate.compress(record(kind, list(head.items()), body)) + deflate.flush()
                 index.write(struct.pack("<QIB", out.size, len(member), ("warcinfo", "response", "revisit").index(kind)))
@@ -162,9 +158,25 @@ def normalise(decisions: DataFrame, folder: str) -> DataFrame:
         records.close()
         out.commit()
         size = index.commit()
-        return pa.table({"archive": [f"{folder}/{name}"], "index": [f"{folder}/{name}.idx"], "n": [size // 13]})
+        return pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "index": [f"{folder}/{name}.idx"], "n": [size // 13]})
 
-    return materialize(decisions.groupBy("file").applyInArrow(run, "archive string, index string, n long"), "warc-archives")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, revisits = None, {}
+        for b in batches:
+            for file, ord_, refers_to, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file != now:
+                    if now is not None:
+                        yield rewrite(now, revisits)
+                    now, revisits = file, {}
+                if revisit:
+                    revisits[ord_] = refers_to
+        if now is not None:
+            yield rewrite(now, revisits)
+
+    decisions = decisions.select("file", "ord", "refers_to", "revisit")
+    files = decisions.select("file").distinct().count()
+    dealt = decisions.repartition(max(1, 4 * files), "file").sortWithinPartitions("file")
+    return materialize(dealt.mapInArrow(run, "archive string, index string, n long"), "warc-archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -206,7 +218,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
     """Archives of pages (page_id, url, html) and their indexes: archive, index, n."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    return normalise(decide(write_monolithic(pages, f"{folder}/mono"), least), folder)
+    decisions = materialize(decide(write_monolithic(pages, f"{folder}/mono"), least), "warc-decisions")
+    return normalise(decisions, folder)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
