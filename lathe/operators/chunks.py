@@ -114,14 +114,16 @@ def merge_small(chunks: DataFrame, least: int, most: int, keys=("document_id",),
     return rows.drop("__n", "__can", "__run")
 
 
-def budget_groups(tokens: Column, most: int) -> Column:
-    """CHK7: the group (from 0) of each paragraph when they are packed in order into the budget; none is cut."""
-    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("group"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+def budget_starts(tokens: Column, most: int) -> Column:
+    """CHK7: the places (from 1) of the paragraphs that begin a group, when they are packed in order into the budget; none is cut.
+
+    Only a group's beginning is added to the result: adding to an array copies it, and there are far fewer groups than paragraphs."""
+    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, t):
-        full = (acc["total"] + t > most) & (acc["n"] > 0)
-        group = F.when(full, acc["group"] + 1).otherwise(acc["group"])
-        return F.struct(F.when(full, t.cast("long")).otherwise(acc["total"] + t).alias("total"), group.alias("group"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(group)).alias("out"))
+        new = (acc["n"] == 0) | (acc["total"] + t > most)
+        n = acc["n"] + 1
+        return F.struct(F.when(new, t.cast("long")).otherwise(acc["total"] + t).alias("total"), n.alias("n"), F.when(new, F.concat(acc["out"], F.array(n))).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(tokens, zero, step, lambda acc: acc["out"])
 
@@ -131,14 +133,14 @@ def split_large(chunks: DataFrame, most: int, separator: str = "\n\n", tokenizer
     paragraphs = F.split("content", separator, -1)
     cut = chunks.withColumn("__p", F.when(F.col("token_count") > most, paragraphs))
     tokens = F.transform("__p", lambda p: X.count_tokens(p, tokenizer))
-    cut = cut.withColumn("__t", tokens).withColumn("__g", budget_groups(F.col("__t"), most))
-    last = F.element_at("__g", -1)
-    def piece(g):
-        mine = F.filter(F.arrays_zip(F.col("__p").alias("p"), F.col("__t").alias("t"), F.col("__g").alias("g")), lambda z: z["g"] == g)
-        return F.struct(g.alias("no"), (last + 1).alias("of"), F.array_join(F.transform(mine, lambda z: z["p"]), separator).alias("text"), F.aggregate(mine, F.lit(0).cast("long"), lambda a, z: a + z["t"]).alias("tokens"))
-
-    pieces = F.when(F.col("__p").isNotNull(), F.transform(F.sequence(F.lit(0), last), piece))
-    return cut.withColumn("piece", F.explode_outer(pieces)).drop("__p", "__t", "__g")
+    cut = cut.withColumn("__t", tokens).withColumn("__s", budget_starts(F.col("__t"), most))
+
+    def piece(start, no):
+        n = F.coalesce(F.get("__s", no + 1), F.size("__p") + 1) - start
+        return F.struct(no.alias("no"), F.size("__s").alias("of"), F.array_join(F.slice("__p", start, n), separator).alias("text"), F.aggregate(F.slice("__t", start, n), F.lit(0).cast("long"), lambda a, t: a + t).alias("tokens"))
+
+    pieces = F.when(F.col("__p").isNotNull(), F.transform("__s", piece))
+    return cut.withColumn("piece", F.explode_outer(pieces)).drop("__p", "__t", "__s")
 
 
 def level_one(docs: DataFrame, schema: Schema, strict: bool = True, tokenizer=None) -> DataFrame:

@@ -39,9 +39,12 @@ def parse_tables(docs: DataFrame, before: int = 3, after: int = 1) -> DataFrame:
 
 
 def tables_of(lines: DataFrame, before: int = 3, after: int = 1) -> DataFrame:
-    near = lines.withColumn("above", F.collect_list("line").over(by_line().rowsBetween(-before, -1))).withColumn("below", F.collect_list("line").over(by_line().rowsBetween(1, after)))
-    rows = near.where("table is not null").groupBy("document_id", F.col("table").alias("start_line")).agg(
-        F.max("line_no").alias("end_line"), ordered("line").alias("raw"), F.min_by("above", "line_no").alias("above"), F.max_by("below", "line_no").alias("below")
+    # the lines around a table are wanted at its first and last line only
+    first, last = F.col("line_no") == F.col("table"), ~F.lead("table").over(by_line()).eqNullSafe(F.col("table"))
+    near = lambda step, ns: F.array_compact(F.array(*(step("line", n).over(by_line()) for n in ns)))
+    near_by = lines.withColumn("above", F.when(first, near(F.lag, range(before, 0, -1)))).withColumn("below", F.when(last, near(F.lead, range(1, after + 1))))
+    rows = near_by.where("table is not null").groupBy("document_id", F.col("table").alias("start_line")).agg(
+        F.max("line_no").alias("end_line"), ordered("line").alias("raw"), F.any_value("above", True).alias("above"), F.any_value("below", True).alias("below")
     )
     head = F.element_at("raw", 1)
     body = F.when(is_separator_row(F.element_at("raw", 2)), F.slice("raw", 3, F.size("raw"))).otherwise(F.slice("raw", 2, F.size("raw")))

@@ -164,8 +164,8 @@ def test_merge_and_budget(spark):
     rows = spark.createDataFrame([("d", i, 10, "a") for i in range(3)], "document_id string, ord int, token_count int, type string")
     got = C.merge_small(rows, 20, 100).orderBy("ord").collect()
     assert [(r.starts, r.taken) for r in got] == [(True, False), (False, True), (False, False)]
-    groups = spark.range(1).select(C.budget_groups(F.array(*map(F.lit, (2, 2, 2, 5, 1, 7, 1))), 5).alias("g")).first().g
-    assert groups == [0, 0, 1, 2, 3, 4, 5]
+    groups = spark.range(1).select(C.budget_starts(F.array(*map(F.lit, (2, 2, 2, 5, 1, 7, 1))), 5).alias("g")).first().g
+    assert groups == [1, 3, 4, 5, 6, 7]
 
 
 def test_preamble_and_clauses(spark):
