@@ -3,13 +3,14 @@
 Categories are predicted one after another; each linear (logistic) model sees the document's words and the
 probabilities of the categories before it. For training these are out-of-fold predictions, so a model never learns from
 answers that its predecessors had seen; for scoring they come from models fitted on all training rows. The last link
-of the chain is the label `toxic` itself. Earlier categories are its kinds: a toxic document belongs to those whose seed
-words it has, or to "other" if it has none; the models then learn from all selected features, not only seeds.
+of the chain is the label `toxic` itself. Labels name no kinds of toxicity, so the earlier categories are found in the
+data: the toxic training documents are clustered by their features (spherical k-means from far-apart starts), and a
+category is "toxic and in this cluster", the largest first.
 
 Features are a document's distinct words and the beginnings of its words (abuse in inflected or compound words).
-Learning uses at most `most_rows` labelled documents (those first by hash of doc_id; a documented bound on what reaches
-the driver) and the `most_features` features that tell the label best by chi-square over all of these. Scoring
-reads every whole text of every document.
+Learning uses at most `most_rows` labelled documents (those first by hash of doc_id, one text of each id; a documented
+bound on what reaches the driver); the model has the `most_features` features that tell the label best by chi-square,
+which Spark computes for every feature of these documents. Scoring reads every whole text of every document.
 
 Nulls: a null text has no words; a null doc_id is carried. Label rows with null or contradicting classes aren't learned
 from. Without toxic or without clean labels every score is 0 and nothing is flagged. Repeated rows give repeated
@@ -27,14 +28,9 @@ from pyspark.sql import functions as F
 
 from lathe.llm.common import materialize, slices, table
 
-#: Fixed seed words of the kinds, in the order of the chain.
-KINDS = {
-    "mind": ("dumb", "fool", "idiot", "imbecile", "moron", "stupid"),
-    "worth": ("garbage", "loser", "pathetic", "scum", "trash", "useless", "worthless"),
-    "disgust": ("disgusting", "filthy", "gross", "vile"),
-    "mockery": ("clown", "freak", "joke"),
-}
-CHAIN = (*KINDS, "other", "toxic")
+#: Clusters of toxic documents, which are the links before the last.
+CLUSTERS = 4
+CHAIN = (*(f"kind_{k + 1}" for k in range(CLUSTERS)), "toxic")
 FOLDS = 5
 #: Lengths of the beginnings of words that are features, written with a star.
 BEGINNINGS = (3, 4, 5, 6)
@@ -57,10 +53,10 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+    return rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
-def document_counts(rows: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
+def document_counts(rows: DataFrame) -> DataFrame:
     """feature, a, b: in how many toxic and other documents it is; added up within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,30 +65,25 @@ def document_counts(rows: DataFrame, among: frozenset[str] | None = None) -> Dat
         n = (Counter(), Counter())
         for b in slices(batches, "text"):
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = features_of(words_of(text))
-                n[label].update(found if among is None else found & among)
+                n[label].update(features_of(words_of(text)))
         every = sorted(n[0].keys() | n[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[1][w] for w in every], pa.int64()), pa.array([n[0][w] for w in every], pa.int64())], names=["feature", "a", "b"])
 
     return rows.select("label", "text").mapInArrow(run, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def selected(rows: DataFrame, most_features: int, least: float = 0.004, most_tried: int = 20_000) -> list[str]:
-    """Of features that toxic documents have often enough, those with the highest chi-square that speak for toxic."""
+def selected(rows: DataFrame, most_features: int) -> list[str]:
+    """Those features with the highest chi-square that speak for toxic, without near relatives."""
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return []
-    often = document_counts(rows.where("label = 1")).where(F.col("a") >= max(3.0, least * n1)).orderBy(F.desc("a"), "feature").limit(most_tried)
-    tried = frozenset(r["feature"] for r in often.collect())
-    scored = []
-    for r in document_counts(rows, tried).collect():
-        a, b = r["a"], r["b"]
-        cross = a * (n0 - b) - b * (n1 - a)
-        if cross > 0:
-            scored.append((-cross * cross * (n1 + n0) / ((a + b) * (n1 + n0 - a - b) * n1 * n0 + 1.0), a, r["feature"]))
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    cross = a * (n0 - b) - b * (n1 - a)
+    chi = cross * cross * (n1 + n0) / ((a + b) * (n1 + n0 - a - b) * n1 * n0 + 1.0)
+    best = document_counts(rows).where(cross > 0).select("feature", "a", chi.alias("chi")).orderBy(F.desc("chi"), "a", "feature").limit(8 * most_features).collect()
     chosen: dict[str, int] = {}
-    for _, a, w in sorted(scored):  # a word or beginning that is in about the same documents as a relative says nothing more
+    for w, a, _ in best:  # a word or beginning that is in about the same documents as a relative says nothing more
         stem = w.rstrip("*")
         related = (n for c, n in chosen.items() if stem.startswith(c.rstrip("*")) or c.startswith(stem))
         if not any(abs(n - a) <= 0.1 * a for n in related):
@@ -102,6 +93,24 @@ def selected(rows: DataFrame, most_features: int, least: float = 0.004, most_tri
     return list(chosen)
 
 
+def clusters(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """The cluster of each row (0 the largest) by spherical k-means: starts are the row most like the mean, then each time the row least like those before."""
+    x = np.hstack([x, np.full((len(x), 1), 1e-3)])  # rows without features aren't 0
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = [x[int((x @ x.mean(axis=0)).argmax())]]
+    while len(centres) < k:
+        centres.append(x[int((x @ np.array(centres).T).max(axis=1).argmin())])
+    at = np.zeros(len(x), dtype=np.int64)
+    for _ in range(rounds):
+        old, at = at, (x @ np.array(centres).T).argmax(axis=1)
+        if (old == at).all():
+            break
+        sums = [x[at == c].sum(axis=0) if (at == c).any() else centres[c] for c in range(k)]
+        centres = [s / np.linalg.norm(s) for s in sums]
+    order = np.argsort(-np.bincount(at, minlength=k), kind="stable")
+    return np.argsort(order)[at]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, decay: float, rounds: int = 25) -> np.ndarray:
     """Weights (bias last) of an L2-regularised logistic model by Newton's method."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
@@ -179,20 +188,19 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_feat
     features = selected(rows, most_features)
     if not features:
         return [], []
-    seeds = sorted({w for kind in KINDS.values() for w in kind})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, seen = Matrix(features), Matrix(seeds)
+        matrix = Matrix(features)
         for b in slices(batches, "text"):
-            texts = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([matrix.row(t) for t in texts], pa.list_(pa.int32())), pa.array([seen.row(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "label", "x", "seeds"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([matrix.row(t) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "label", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, x array<int>, seeds array<int>").orderBy("doc_id", "label").collect()
+    got = rows.mapInArrow(run, "doc_id long, label int, x array<int>").orderBy("doc_id").collect()
     x, targets = np.zeros((len(got), len(features))), np.zeros((len(got), len(CHAIN)))
     for i, r in enumerate(got):
         x[i, r["x"]] = 1
-        kinds = [any(seeds[s] in kind for s in r["seeds"]) for kind in KINDS.values()]
-        targets[i] = [r["label"] and k for k in (*kinds, not any(kinds), True)]
+    targets[:, -1] = [r["label"] for r in got]
+    toxic = np.flatnonzero(targets[:, -1])
+    targets[toxic, clusters(x[toxic], CLUSTERS)] = 1
     folds = np.array([(r["doc_id"] * 2654435761 % (1 << 32)) >> 16 for r in got]) % FOLDS
     return features, fit_chain(x, targets, folds)
 
