@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lathe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -88,13 +90,13 @@ def open_fs(uri: str):
 
 
 class AtomicFile:
-    """A file that appears under its name only when it is whole, so a retried or doubled task can't leave a torn one."""
+    """A file that appears under its name only when it is whole, so a retried or doubled task can't leave a torn one. As a context manager it goes if it wasn't committed."""
 
     def __init__(self, uri: str):
         self.fs, self.path = open_fs(uri)
         self.temp = f"{self.path}.{uuid.uuid4().hex}.part"
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
-        self.out, self.size = self.fs.open_output_stream(self.temp, compression=None), 0
+        self.out, self.size, self.done = self.fs.open_output_stream(self.temp, compression=None), 0, False
 
     def write(self, data: bytes) -> None:
         self.out.write(data)
@@ -103,8 +105,13 @@ class AtomicFile:
     def commit(self) -> int:
         self.out.close()
         self.fs.move(self.temp, self.path)
+        self.done = True
         return self.size
 
-    def abort(self) -> None:
-        self.out.close()
-        self.fs.delete_file(self.temp)
+    def __enter__(self) -> AtomicFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if not self.done:
+            self.out.close()
+            self.fs.delete_file(self.temp)

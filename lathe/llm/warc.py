@@ -19,6 +19,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -105,21 +106,22 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri = f"{folder}/mono-{TaskContext.get().partitionId():06d}.warc.gz"
         out, deflate, ord_ = None, zlib.compressobj(1, zlib.DEFLATED, GZIP), 0
-        for b in slices(batches, "html", 4 << 20):
-            if out is None:
-                out = AtomicFile(uri)
-                out.write(deflate.compress(record("warcinfo", [("WARC-Record-ID", "<urn:lathe:archive>"), ("WARC-Date", DATE)], b"software: lathe\r\n")))
-            rows = []
-            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                payload = html.encode("utf-8", "surrogatepass")
-                out.write(deflate.compress(record("response", page_headers(page_id, url, digest32(payload)), payload)))
-                rows.append((uri, ord_, page_id, len(payload), hashlib.sha256(payload).digest()))
-                ord_ += 1
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "ord", "page_id", "payload_bytes", "sha256"])
-        if out:
-            out.write(deflate.flush())
-            out.commit()
+        with ExitStack() as open_file:
+            for b in slices(batches, "html", 4 << 20):
+                if out is None:
+                    out = open_file.enter_context(AtomicFile(uri))
+                    out.write(deflate.compress(record("warcinfo", [("WARC-Record-ID", "<urn:lathe:archive>"), ("WARC-Date", DATE)], b"software: lathe\r\n")))
+                rows = []
+                for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    payload = html.encode("utf-8", "surrogatepass")
+                    out.write(deflate.compress(record("response", page_headers(page_id, url, digest32(payload)), payload)))
+                    rows.append((uri, ord_, page_id, len(payload), hashlib.sha256(payload).digest()))
+                    ord_ += 1
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "ord", "page_id", "payload_bytes", "sha256"])
+            if out:
+                out.write(deflate.flush())
+                out.commit()
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     return materialize(rows.mapInArrow(run, schema), "warc-records")
@@ -139,25 +141,25 @@ def normalise(decisions: DataFrame, folder: str) -> DataFrame:
 
     def rewrite(file: str, revisits: dict[int, int | None]) -> pa.RecordBatch:
         name = file.rsplit("/", 1)[1].replace("mono-", "part-")
-        out, index = AtomicFile(f"{folder}/{name}"), AtomicFile(f"{folder}/{name}.idx")
         records, ord_ = Records(), -1
-        for data in inflate(file):
-            for head, body in records.feed(data):
-                kind = head.pop("WARC-Type")
-                head.pop("Content-Length")
-                if kind == "response":
-                    ord_ += 1
-                    head["X-Payload-Length"] = str(len(body))
-                    if ord_ in revisits:
-                        kind, body, of = "revisit", b"", revisits[ord_]
-                        head |= {"WARC-Profile": REVISIT, "WARC-Refers-To": f"<urn:lathe:page:{'' if of is None else of}>"}
-                deflate = zlib.compressobj(6, zlib.DEFLATED, GZIP)
-                member = deflate.compress(record(kind, list(head.items()), body)) + deflate.flush()
-                index.write(struct.pack("<QIB", out.size, len(member), ("warcinfo", "response", "revisit").index(kind)))
-                out.write(member)
-        records.close()
-        out.commit()
-        size = index.commit()
+        with AtomicFile(f"{folder}/{name}") as out, AtomicFile(f"{folder}/{name}.idx") as index:
+            for data in inflate(file):
+                for head, body in records.feed(data):
+                    kind = head.pop("WARC-Type")
+                    head.pop("Content-Length")
+                    if kind == "response":
+                        ord_ += 1
+                        head["X-Payload-Length"] = str(len(body))
+                        if ord_ in revisits:
+                            kind, body, of = "revisit", b"", revisits[ord_]
+                            head |= {"WARC-Profile": REVISIT, "WARC-Refers-To": f"<urn:lathe:page:{'' if of is None else of}>"}
+                    deflate = zlib.compressobj(6, zlib.DEFLATED, GZIP)
+                    member = deflate.compress(record(kind, list(head.items()), body)) + deflate.flush()
+                    index.write(struct.pack("<QIB", out.size, len(member), ("warcinfo", "response", "revisit").index(kind)))
+                    out.write(member)
+            records.close()
+            out.commit()
+            size = index.commit()
         return pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "index": [f"{folder}/{name}.idx"], "n": [size // 13]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
