@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on nulls, empty texts, ties, repeated rows, odd columns and empty tables."""
 
+import base64
 import hashlib
 import random
 import re
@@ -55,6 +56,24 @@ def test_patricia():
     assert {k: n for k, _, n in trie.items()} == want
 
 
+def test_owner_shares_prefixes_and_spills():
+    """Texts with a long common beginning are held once; with a small budget every subtree is spilled, again and again."""
+    trie, head = exact_dedup.Patricia(), b"x" * 5000
+    for i in range(1000):
+        trie.insert(head + str(i).encode(), i)
+    assert trie.bytes < 1_000_000
+    texts = [head + bytes(random.choice(b"ab") for _ in range(random.randint(0, 12))) for _ in range(800)] + [b"", b"", b"y", head[:17]]
+    for budget in (1, 3000, 1 << 30):
+        owner = exact_dedup.Owner(budget)
+        for i, text in enumerate(texts):
+            owner.insert(text, i, 1)
+        assert (len(owner.spilled) > 0) == (budget < 1 << 30)
+        want: dict = {}
+        for i, text in enumerate(texts):
+            want.setdefault(text, []).append(i)
+        assert sorted(owner.items()) == sorted((t, min(i), len(i)) for t, i in want.items())
+
+
 def test_mixing(spark, docs):
     rows = mixing.mix(docs, carry=["doc_id", "row"]).collect()
     assert len(rows) == len(ROWS)
@@ -71,6 +90,25 @@ def test_mixing(spark, docs):
     assert order == sorted(order) and all(0 <= p < 1 for p in order)
 
 
+def test_mixing_many_sources(spark):
+    """Every row a source or two, so that many are capped: targets by water-filling in plain Python."""
+    rows = [(i, " ".join(["w"] * (1 + i * i % 97 if i % 9 else 3000)), f"s{i // 2:04}" if i % 11 else None) for i in range(400)]
+    total = defaultdict(int)
+    for _, t, s in rows:
+        total[s] += len(t.split())
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight, capped, level = {s: i % 3 + 1 for i, s in enumerate(order)}, set(), 0.0
+    while True:
+        level = (sum(total.values()) - sum(3 * total[s] for s in capped)) / sum(weight[s] for s in order if s not in capped)
+        more = {s for s in order if 3 * total[s] < level * weight[s]}
+        if more == capped:
+            break
+        capped = more
+    want = {i: 3.0 * total[s] if s in capped else level * weight[s] for i, _, s in rows}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)).collect()
+    assert 5 < len(capped) < len(order) and all(r.target == pytest.approx(want[r.doc_id]) and r.taken <= 3 * r.size for r in got)
+
+
 def test_join(spark):
     base, rows = [random.choice(VOCAB) for _ in range(60)], []
     for _ in range(30):
@@ -103,6 +141,25 @@ def test_join(spark):
     assert ngram_join.ngram_join(df.limit(0)).count() == 0
 
 
+def test_components_both_ways(spark):
+    """Few links in one task and many by star steps give the same roots."""
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i + 1000, i + 1001) for i in range(60)]
+    df = spark.createDataFrame([(u, v) for u, v in links if u != v], "u long, v long")
+    one, many = ({r.u: r.v for r in ngram_join.components(df, most).collect()} for most in (10_000, 0))
+    assert one == many and one[1060] == 1000
+
+
+def test_join_without_broadcasts(spark, monkeypatch):
+    """Beyond the bounds of small tables and of known frequent n-grams the result is the same."""
+    rows = [(i, " ".join([*VOCAB[j : j + 40], *(random.choice(VOCAB) for _ in range(i % 9))])) for i in range(120) for j in [i % 4 * 50]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, ngram_join.ngram_join(df).collect()))
+    for name, value in (("FEW", -1), ("MOST_FREQUENT", 1), ("RANGE", 50), ("CHUNK", 200)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert sorted(map(tuple, ngram_join.ngram_join(df).collect())) == want and len({c for *_, c in want}) < 100
+
+
 def test_huffman_code():
     counts = np.array([0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89])
     lengths = huffman.code_lengths(counts, 5)
@@ -127,10 +184,21 @@ def test_token_files_and_packing(spark, docs):
         assert r.start == at
         at += r.n_tokens
     assert huffman.read_files(huffman.encode_corpus(docs.limit(0))).count() == 0
-    pieces, windows = packing.pack(docs).collect(), defaultdict(list)
+    pieces, windows, parts = packing.pack(docs).collect(), defaultdict(list), defaultdict(list)
     for p in pieces:
         windows[p.sequence_id].append(p)
+        parts[p.doc_id, p.doc_tokens].append(p)
     assert sum(p.length for p in pieces) == sum(len(encoded(x, 1)) for _, x, _ in ROWS)
+    for key in {(d, len(encoded(x, 1))) for d, x, _ in ROWS}:  # every id of every document is in exactly one piece
+        mine = Counter(encoded(x, 1).tobytes() for d, x, _ in ROWS if (d, len(encoded(x, 1))) == key)
+        starts = defaultdict(list)
+        for p in parts[key]:
+            starts[p.start].append(p.ids)
+            assert p.length == len(p.ids) // 4 and any(p.ids == x[4 * p.start : 4 * (p.start + p.length)] for x in mine)
+        at = 0
+        while at < key[1]:
+            assert len(starts[at]) == sum(mine.values())
+            at += len(starts[at][0]) // 4
     for w in windows.values():
         at = 0
         for p in sorted(w, key=lambda p: p.offset):
@@ -146,8 +214,10 @@ def test_differencing():
     assert sorted(i for w in dealt for i in w) == list(range(200))
     loads = [sum(sizes[i] for i in w) for w in dealt]
     assert max(loads) - min(loads) < 200
-    whole = packing.pack_group(sizes, 2048, 0)
-    assert all(sum(b - a for _, a, b in w) <= 2048 and all(a == 0 for _, a, _ in w) for w in whole)
+    for sizes in (sizes, [1500] * 9, [2048], [2047, 1, 1], [700] * 50 + [1] * 50):
+        windows = packing.pack_group(sizes, 2048)
+        assert sorted(i for w in windows for i in w) == list(range(len(sizes))) and all(sum(sizes[i] for i in w) <= 2048 for w in windows)
+    assert len(packing.pack_group([1500] * 9, 2048)) == 9  # the least count, 7, doesn't hold: it rises
 
 
 def test_encoder():
@@ -155,12 +225,26 @@ def test_encoder():
 
     e = Encoder(huffman.tokenizer_path(), most_cuts=500)
     texts = ["", None, " ", "a  b", "a\n b", "x\n\ny", "tab\there", "nb sp", "<|endoftext|> hi", "it's 12.7", "你好 \U0001f600", "a\x02b"]
-    texts += ["".join(random.choice(["a", "B", " ", "\n", "'s", "9", "!", "é", "😀"]) for _ in range(random.randint(0, 30))) for _ in range(800)]
+    texts += ["".join(random.choice(["a", "B", " ", "\n", "'s", "'", "9", "!", ".", "…", "ß", "×", "é", "😀"]) for _ in range(random.randint(0, 30))) for _ in range(800)]
     ids, n = e.encode(pa.array(texts))
     for text, part in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
         assert list(part) == e.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_cuts_long_texts(monkeypatch):
+    """Texts without safe cuts go to the library in pieces; the ids are those of the whole text."""
+    from lathe.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_BYTES", 50)
+    monkeypatch.setattr(tokens, "MOST_NEW", 7)
+    e = tokens.Encoder(huffman.tokenizer_path(), most_cuts=500)
+    texts = ["\t".join(VOCAB[:50]), "a\tb " + " ".join(VOCAB) + "  x", "\t" + "y" * 500, "<|endoftext|> " * 30 + "z é " * 40, " ".join(VOCAB)]
+    ids, n = e.encode(pa.array(texts))
+    assert len(tokens.pieces_of(texts[1])) > 5
+    for text, part in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert list(part) == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_pii(spark, docs):
     rows = {(r.doc_id, r.base.__str__()): r for r in pii.detect(docs).collect()}
     assert len(pii.detect(docs).collect()) == len(ROWS)
@@ -177,7 +261,7 @@ def test_pii(spark, docs):
     assert pii.detect(docs.limit(0)).count() == 0
 
 
-def test_pii_base(spark):
+def test_pii_base(spark, tmp_path):
     """Base spans against Python's re, each text alone: no other digits help a number written in short groups."""
     texts = ["call +33 1 23 45 67 89", "41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "411 111 111 111 111 1 \U0001f600 +1.2.3.4.5.6.7.8", "a@b.c 1.2.3.4", "x@y 1.2.3", None]
     rng = random.Random(7)
@@ -195,7 +279,15 @@ def test_pii_base(spark):
         (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= n(m) <= 15),
     ]
     want = {i: [(k, m.start(), m.end()) for k, (p, ok) in enumerate(kinds) for m in re.finditer(p, t or "") if ok(m.group())] for i, t in enumerate(texts)}
-    got = {r.doc_id: [tuple(s) for s in r.base] for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    texts.append(" ".join(f"a{i}@b.c +1 ({i % 10}55) 555-0{i:03} x" for i in range(1000)))
+    want[len(texts) - 1] = [(k, m.start(), m.end()) for k, (p, ok) in enumerate(kinds) for m in re.finditer(p, texts[-1]) if ok(m.group())]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, base string, start int")
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in pii.detect(df).collect()}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in pii.query(spark, str(tmp_path)).collect():
+        said = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want[r.doc_id]]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for k, *_ in want[r.doc_id]) for j in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest() and set(said) <= set(r.spans.split(",") if r.spans else [])
     assert got == want and want[0] and want[1] and Counter(s[0] for f in want.values() for s in f).keys() == {0, 1, 2, 3}
 
 
@@ -235,6 +327,67 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_warc_against_brute_force(spark, tmp_path):
+    """The query itself on null and repeated ids, long and repeated payloads and extra columns."""
+    rng = random.Random(9)
+    bodies = [None, "", "a", "é" * 300_000, "x\r\n\r\nWARC/1.1\r\n", *(" ".join(rng.choice(VOCAB) for _ in range(rng.randint(1, 50))) for _ in range(8))]
+    pages = [(rng.choice([None, *range(40)]), "http://h/" + str(i % 7) if i % 5 else None, bodies[i] if i < len(bodies) else rng.choice(bodies), "f", i) for i in range(150)]
+    pages += [(None, "n", "only null"), (None, "n", "only null"), (77, "same", "twice"), (77, "same", "twice")]
+    pages = [(*p[:3], "f", i) for i, p in enumerate(pages)]
+    spark.createDataFrame(pages, "page_id long, url string, html string, file string, ord long").repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    groups, want = defaultdict(list), Counter()
+    for p in pages:
+        groups[(p[2] or "").encode()].append(p[0])
+    for raw, ids in groups.items():
+        ids.sort(key=lambda x: (x is not None, x or 0))
+        said = len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        want[ids[-1], *said, "response", None] += 1
+        want.update((i, *said, "revisit", ids[-1]) for i in ids[:-1])
+    got = warc.query(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def test_toxic_kinds():
+    """Kinds of toxicity are found in the data, by no word list: two vocabularies of abuse fall into different clusters."""
+    x = np.zeros((60, 12))
+    for i in range(60):
+        x[i, [random.randrange(0, 6) + 6 * (i % 3 == 0) for _ in range(4)]] = 1
+    at = toxicity.clusters(x, 2)
+    assert len(set(at[::3])) == 1 and set(at[::3]) != set(at[1::3]) and np.bincount(at).tolist() == [40, 20]
+
+
+def test_toxic_sample_is_bounded(spark):
+    rows = [(i % 7, f"text {i}") for i in range(300)] + [(None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] + [(3, 1), (4, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(df, labels, 5).collect()
+    assert len(got) == 5 and {r.doc_id for r in got} <= {0, 1, 2, 3, 5, 6}
+
+
+def test_classifier_queries(spark, tmp_path):
+    """The queries themselves on held-out labels, with nulls, ties, very long texts, repeated ids and columns that clash."""
+    rng, docs, labels = random.Random(21), [], []
+    for i in range(400):
+        text = " ".join(rng.choice(VOCAB) for _ in range(rng.randint(20, 120)))
+        toxic, junk = i % 6 == 1, i % 4 == 0
+        text = f"{text} you {rng.choice(['brute', 'oaf', 'lout', 'dolt'])}" if toxic else text
+        docs.append((i, "BUY!!! $$$ ### " * 20 + text[:9] if junk else text, 0.5, 1, "z"))
+        labels.append((i, int(not junk), int(toxic)))
+    docs += [(None, None, 0.5, 1, "z"), (None, "", 0.5, 1, "z"), (3, docs[3][1], 0.5, 1, "z"), (900, LONG * 20, 0.5, 1, "z")]
+    spark.createDataFrame(docs, "doc_id long, text string, score double, label int, x string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 0
+    got = quality.query(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d[0] for d in docs)
+    assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    told = [r.predicted == labels[r.doc_id][1] for r in got if held(r.doc_id) and r.doc_id < 400]
+    assert len(told) > 50 and np.mean(told) > 0.95
+    toxic = toxicity.query(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in toxic) == Counter(d[0] for d in docs)
+    assert np.mean([r.toxic == labels[r.doc_id][2] for r in toxic if r.doc_id is not None and r.doc_id < 400 and r.doc_id % 4]) > 0.98
+    assert len({r.toxic_score for r in toxic if r.doc_id == 3}) == 1
+
+
 def test_classifiers(spark, docs):
     good = [(i, " ".join(random.choice(VOCAB) for _ in range(80)), None) for i in range(200)]
     rows = [(i, t if i % 4 else "BUY!!! $$$ " * 30, s) for i, t, s in good]
