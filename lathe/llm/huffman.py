@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -204,14 +205,14 @@ class Reader:
             held = held[n:]
 
 
-def token_table(docs: DataFrame, path: str, end_id: int, dtype: str = "<u4", most_cuts: int = 500_000) -> DataFrame:
+def token_table(docs: DataFrame, path: str, end_id: int, dtype: str = "<u4", most_cuts: int = 300_000) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned ids of the whole text, then end_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lathe.llm.tokens import encoder
 
         width = np.dtype(dtype).itemsize
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             ids, lengths = encoder(path, most_cuts).encode(b.column(1))
             ends = np.cumsum(lengths)
             data = np.insert(ids, ends, end_id).astype(dtype)
@@ -249,15 +250,19 @@ def write_files(rows: DataFrame, folder: str, vocab: int, dtype: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer = TaskContext.get().partitionId(), None
         uri = f"{folder}/part-{part:06d}.lhc"
-        for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                writer = writer or Writer(uri, Code(lengths))
-                writer.add(doc, np.frombuffer(ids, dtype).astype(np.uint32))
+        with ExitStack() as open_file:
+            for b in batches:
+                for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if writer is None:
+                        writer = Writer(uri, Code(lengths))
+                        open_file.enter_context(writer.file)
+                    writer.add(doc, np.frombuffer(ids, dtype).astype(np.uint32))
+            size = writer.close() if writer else 0
         if writer:
-            size = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, uri, len(writer.docs), writer.n_ids, size)], names=["part", "file", "n_docs", "n_ids", "n_bytes"])
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one id (or none) may go to several files, by their content
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id")
     return materialize(ordered.mapInArrow(run, "part long, file string, n_docs long, n_ids long, n_bytes long"), "token-files")
 
 
