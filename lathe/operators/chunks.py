@@ -257,3 +257,10 @@ def process(docs: DataFrame, schema: Schema, strict: bool = True, tokenizer=None
 
     one = staged(level_one(docs, schema, strict, tokenizer), "level-one")
     return with_relationships(staged(one.unionByName(level_two(one, schema, tokenizer)), "chunks"), schema)
+
+
+def document_metadata(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """CHK16: requests (document_id, document_name, document_type and more) with the name that was asked for, else the source's title, else "Untitled"; sources: document_id, title, source_file."""
+    both = requests.join(sources.select("document_id", "title", "source_file"), "document_id", "left")
+    name = F.coalesce(X.empty_to_null(F.col("document_name")), X.empty_to_null(F.col("title")), F.lit("Untitled"))
+    return both.withColumn("document_name", name).withColumn("source_file", F.coalesce("source_file", F.lit(""))).drop("title")

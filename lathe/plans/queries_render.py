@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from lathe.functions import text as X
 from lathe.operators import bullets as B
+from lathe.operators import chunks as C
 from lathe.operators import html as H
 from lathe.operators import pdf as P
+from lathe.operators import split as S
 from lathe.operators import text_tables as TT
 from lathe.operators.lines import doc_lines, started
 from lathe.plans import rendered as R
@@ -248,6 +250,35 @@ def stream_heuristics(spark, sf_dir):
     return P.removed_streams(s).select("page", "stream_no", "removed")
 
 
+@query("stream_operators", """SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN length('-1 0 0 1 ' || p_size || '0 20 Tm' || chr(10) || '(a) Tj' || chr(10) || ' [(b)] TJ ' || chr(10) || 'q') ELSE length('1 0 0 1 ' || p_size || '0 20 Tm' || chr(10) || '(a) Tj x') END)::BIGINT AS size, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END AS text_ops, p_size % 2 = 0 AS rotated, p_size * 10 > 350 AS right_edge FROM part""")
+def stream_operators(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    content = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("-1 0 0 1 "), size, F.lit("0 20 Tm\n(a) Tj\n [(b)] TJ \nq"))).otherwise(F.concat(F.lit("1 0 0 1 "), size, F.lit("0 20 Tm\n(a) Tj x")))
+    return P.described_streams(R.table(spark, sf_dir, "part").select("p_partkey", content.cast("binary").alias("content"))).drop("content")
+
+
+@query("reordered_tables", """SELECT 'd' || p_partkey AS document_id, CASE WHEN p_size % 2 = 0 THEN array_to_string(['### II. Giá', '### Bảng 1', '', '| ' || p_size || ' |', '', '| x |', 'chữ', '### Bảng 2', '', '| hai |', 'cuối', '', '| ba |'], chr(10)) ELSE array_to_string(['đầu', '### III. Giá', '### Bảng 1', '### Bảng 2'], chr(10)) END AS text FROM part""")
+def reordered_tables(spark, sf_dir):
+    p = R.table(spark, sf_dir, "part")
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("đầu\n| cũ |\n### II. Giá\n| "), F.col("p_size").cast("string"), F.lit(" |\n\n| x |\n### Bảng 1\nchữ\n### Bảng 2\n| hai |\ncuối\n| ba |"))).otherwise("đầu\n### III. Giá\n### Bảng 1\n### Bảng 2")
+    return S.reordered_tables(p.select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("document_id"), text.alias("text")))
+
+
+@query("orphan_lines", """SELECT 'd' || p_partkey AS document_id, '### Đơn vị tính: đồng' || chr(10) || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'khác' || chr(10) || '5' ELSE 'TT' || chr(10) || 'Container khô' || chr(10) || p_size || '.000' || chr(10) || '20''' || chr(10) || 'khác' || chr(10) || '5' END AS text FROM part""")
+def orphan_lines(spark, sf_dir):
+    p = R.table(spark, sf_dir, "part")
+    more = F.when(F.col("p_size") % 2 == 0, "\n40’\n\nkhác\n5").otherwise("\nkhác\n5")
+    text = F.concat(F.lit("### Đơn vị tính: đồng\nTT\nContainer khô\n"), F.col("p_size").cast("string"), F.lit(".000\n20'"), more)
+    return S.without_orphans(p.select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("document_id"), text.alias("text")))
+
+
+@query("document_metadata", "SELECT 'd' || c_custkey AS document_id, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN 'tựa ' || c_custkey END, 'Untitled') AS document_name, c_mktsegment AS document_type, CASE WHEN c_custkey % 3 = 2 THEN '' ELSE '/f/' || c_custkey END AS source_file FROM customer")
+def document_metadata(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = R.table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), k.cast("string")).alias("document_id"), F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, "").alias("document_name"), F.col("c_mktsegment").alias("document_type"), F.when(k % 3 == 1, F.concat(F.lit("tựa "), k.cast("string"))).otherwise("").alias("title"), F.when(k % 3 != 2, F.concat(F.lit("/f/"), k.cast("string"))).alias("path"))
+    return C.document_metadata(c.select("document_id", "document_name", "document_type"), c.select("document_id", "title", F.col("path").alias("source_file")))
+
+
 @query("operator_filter", """SELECT p_partkey, v.op_no FROM part, (VALUES (0), (1), (2), (3)) AS v(op_no) WHERE NOT (p_size % 2 = 0 AND v.op_no IN (1, 2))""")
 def operator_filter(spark, sf_dir):
     p = R.table(spark, sf_dir, "part")

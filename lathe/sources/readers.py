@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from lathe.operators.chunks import document_id
 
-TEXT, CSV, DOCX = (".md", ".txt", ".markdown"), (".csv",), (".docx",)
-KNOWN = (*TEXT, *CSV, *DOCX)
+TEXT, CSV, DOCX, PPTX = (".md", ".txt", ".markdown"), (".csv",), (".docx",), (".pptx",)
+KNOWN = (*TEXT, *CSV, *DOCX, *PPTX)
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+A, P = "{http://schemas.openxmlformats.org/drawingml/2006/main}", "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 #: Heading marks of paragraph styles; other heading styles get four.
 STYLES = {"Heading1": "# ", "Heading2": "## ", "Heading3": "### ", "Title": "# "}
 
@@ -45,20 +46,39 @@ def docx_markdown(raw: bytes) -> str:
             mark = STYLES.get(name, "#### " if name.startswith("Heading") else "")
             out.append(mark + text(p).strip())
     for t in body.findall(f"{W}tbl"):
-        rows = [[text(c).strip() for c in r.findall(f"{W}tc")] for r in t.findall(f"{W}tr")]
-        if rows:
-            line = lambda r: "| " + " | ".join(r) + " |"
-            out.append("\n".join([line(rows[0]), line(["---"] * len(rows[0])), *map(line, rows[1:])]))
-    return "\n\n".join(out)
+        out.append(table_text([[text(c).strip() for c in r.findall(f"{W}tc")] for r in t.findall(f"{W}tr")]))
+    return "\n\n".join(filter(None, out))
+
+
+def pptx_markdown(raw: bytes) -> str:
+    """SRC8: slides in order, each with its number, its title as a heading, its paragraphs and its tables."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        slides = sorted((int(m.group(1)), m.group()) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+        for number, name in slides:
+            out.append(f"<!-- Slide number: {number} -->")
+            tree = ElementTree.fromstring(z.read(name))
+            for shape in tree.iter(f"{P}sp"):
+                kind = shape.find(f"{P}nvSpPr/{P}nvPr/{P}ph")
+                title = kind is not None and kind.get("type") in ("title", "ctrTitle")
+                texts = ["".join(t.text or "" for t in p.iter(f"{A}t")).strip() for p in shape.iter(f"{A}p")]
+                out += [f"# {t}" if title else t for t in texts if t]
+            for t in tree.iter(f"{A}tbl"):
+                out.append(table_text([["".join(x.text or "" for x in c.iter(f"{A}t")).strip() for c in r.findall(f"{A}tc")] for r in t.findall(f"{A}tr")]))
+    return "\n\n".join(filter(None, out))
+
+
+def table_text(rows: list[list[str]]) -> str:
+    """Rows of cells as a markdown table; the first is the header."""
+    line = lambda r: "| " + " | ".join(r) + " |"
+    return "\n".join([line(rows[0]), line(["---"] * len(rows[0])), *map(line, rows[1:])]) if rows else ""
 
 
 def csv_markdown(raw: bytes) -> str:
     """SRC8, SRC9."""
     import csv
 
-    rows = [r for r in csv.reader(io.StringIO(raw.decode("utf-8-sig"))) if r]
-    line = lambda r: "| " + " | ".join(c.strip() for c in r) + " |"
-    return "\n".join([line(rows[0]), line(["---"] * len(rows[0])), *map(line, rows[1:])]) if rows else ""
+    return table_text([[c.strip() for c in r] for r in csv.reader(io.StringIO(raw.decode("utf-8-sig"))) if r])
 
 
 def decoded(suffix: str, raw: bytes) -> str:
@@ -68,6 +88,8 @@ def decoded(suffix: str, raw: bytes) -> str:
         return csv_markdown(raw)
     if suffix in DOCX:
         return docx_markdown(raw)
+    if suffix in PPTX:
+        return pptx_markdown(raw)
     raise ValueError(f"no reader for {suffix or 'files without suffix'}")
 
 

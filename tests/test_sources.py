@@ -3,7 +3,9 @@
 import io
 import zipfile
 
-from lathe.sources import readers
+import pytest
+
+from lathe.sources import readers, writers
 from lathe.sources.store import Store
 from lathe.streaming.ingest import SCHEMA, ingest, stream_documents
 
@@ -35,6 +37,31 @@ def test_readers(spark, tmp_path):
     assert len(bounded) == 6 and bounded["c.docx"].error.startswith("too long") and bounded["a.md"].text
 
 
+def pptx():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        xml = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+        shape = lambda t, title: f'<p:sp><p:nvSpPr><p:nvPr>{"<p:ph type=" + chr(34) + "title" + chr(34) + "/>" if title else ""}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>'
+        cell = lambda t: f"<a:tc><a:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:txBody></a:tc>"
+        for n, body in ((10, shape("hai", False)), (2, shape("Một", True) + shape("chữ", False) + f"<p:graphicFrame><a:tbl><a:tr>{cell('a')}{cell('b')}</a:tr><a:tr>{cell('1')}{cell('2')}</a:tr></a:tbl></p:graphicFrame>")):
+            z.writestr(f"ppt/slides/slide{n}.xml", f"<p:sld {xml}><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>")
+    return out.getvalue()
+
+
+def test_slides():
+    assert readers.pptx_markdown(pptx()) == "<!-- Slide number: 2 -->\n\n# Một\n\nchữ\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n<!-- Slide number: 10 -->\n\nhai"
+
+
+def test_writers(spark, tmp_path):
+    rows = spark.createDataFrame([("a.md", "chữ"), ("x/b.html", "<p>"), ("e.md", None)], "name string, content string")
+    for _ in range(2):
+        got = {r.path: r.bytes for r in writers.write_each(rows, f"file://{tmp_path}/out").collect()}
+    assert got == {f"{tmp_path}/out/a.md": 5, f"{tmp_path}/out/x/b.html": 3, f"{tmp_path}/out/e.md": 0}
+    assert (tmp_path / "out/a.md").read_text() == "chữ" and sorted(p.name for p in (tmp_path / "out").rglob("*.*")) == ["a.md", "b.html", "e.md"]
+    with pytest.raises(Exception, match="not a name"):
+        writers.write_each(spark.createDataFrame([("../x", "y")], "name string, content string"), str(tmp_path)).collect()
+
+
 def test_ingest(spark, tmp_path):
     """Documents of other types are quarantined, not lost; a later batch replaces a document; a second run finds nothing new."""
     def arrive(name, *rows):
