@@ -240,8 +240,9 @@ def rejoined_rows(docs: DataFrame) -> DataFrame:
 def convert(docs: DataFrame) -> DataFrame:
     """BUL1: document_id, text: every document by the path that its form asks for."""
     from lathe.operators.text_tables import text_bullets
+    from lathe.sources.scratch import staged
 
-    clean = cleaned_special_section(docs)
+    clean = staged(cleaned_special_section(docs), "bullets")
     return render_markdown(clean.where(~is_text_table("text"))).unionByName(text_bullets(clean.where(is_text_table("text"))))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.functions.text import col, escape_html, strip
+from lathe.operators.bullets import let
 
 
 def csv_rows(text: Column | str) -> Column:
@@ -17,19 +18,22 @@ def csv_rows(text: Column | str) -> Column:
     fields = F.regexp_extract_all(F.concat(F.lit("\n"), F.regexp_replace(col(text), "\r\n?", "\n")), F.lit(r'([,\n](?:"(?:[^"]|"")*+"[^,\n]*|[^,\n]*))'), F.lit(1))
     value = lambda f: F.when(f.rlike('(?s)^"'), F.replace(F.regexp_replace(F.substring(f, 2, F.length(f)), r'(?s)"([^"]*)$', "$1"), F.lit('""'), F.lit('"'))).otherwise(f)
     place = lambda f: F.struct(F.startswith(f, F.lit("\n")).alias("first"), value(F.substring(f, 2, F.length(f))).alias("value"))
-    return F.filter(rows_from(F.transform(fields, place)), lambda r: (F.size(r) > 1) | (F.get(r, F.lit(0)) != ""))
+    return F.filter(let(F.transform(fields, place), rows_from), lambda r: (F.size(r) > 1) | (F.get(r, F.lit(0)) != ""))
 
 
 def rows_from(fields: Column) -> Column:
     """Fields (first, value) cut into rows before those that are first: slices between their places."""
-    starts = F.filter(F.transform(fields, lambda f, i: F.when(f["first"], i + 1)), lambda i: i.isNotNull())
-    values = F.transform(fields, lambda f: f["value"])
-    return F.transform(starts, lambda s, k: F.slice(values, s, F.coalesce(F.get(starts, k + 1), F.size(values) + 1) - s))
+    starts = F.array_compact(F.transform(fields, lambda f, i: F.when(f["first"], i + 1)))
+    cut = lambda z: F.transform(z["starts"], lambda s, k: F.slice(z["values"], s, F.coalesce(F.get(z["starts"], k + 1), F.size(z["values"]) + 1) - s))
+    return let(F.struct(starts.alias("starts"), F.transform(fields, lambda f: f["value"]).alias("values")), cut)
 
 
 def html_table(rows: Column | str) -> Column:
     """HTM2: an HTML table of rows of cells; the first is the header. No rows: null."""
-    rows = col(rows)
+    return let(col(rows), table_of_rows)
+
+
+def table_of_rows(rows: Column) -> Column:
     cells = lambda r, tag: F.concat(F.lit("<tr>\n"), F.array_join(F.transform(r, lambda c: F.concat(F.lit(f"  <{tag}>"), escape_html(strip(c)), F.lit(f"</{tag}>\n"))), ""), F.lit("</tr>\n"))
     head = F.concat(F.lit("<thead>\n"), cells(F.get(rows, F.lit(0)), "th"), F.lit("</thead>\n"))
     body = F.array_join(F.transform(F.slice(rows, 2, F.size(rows)), lambda r: cells(r, "td")), "")

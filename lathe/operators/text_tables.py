@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.functions.text import any_case, col, strip
-from lathe.operators.bullets import BAR, is_skipped, prices, remove_watermark
+from lathe.operators.bullets import BAR, is_skipped, let, prices, remove_watermark
 
 # What a line must look like to be of a kind, words that are left out of descriptions, and box forms.
 SECTION, TITLE, LETTERED = r"^\d+(?:\.\d+)*\.\s+", r"^\s*Bảng\s+\d+", r"^[a-z]+\.\s+"
@@ -27,6 +27,11 @@ PRICE_WORDS = "tăng|thỏa thuận|miễn|%|bằng"
 EXEMPT, AGREED = "Miễn phụ thu", "Thỏa thuận"
 OUT_OF_NUMBERED = ("cước đảo chuyển", "ghi chú", "lưu ý", "chú ý", "dưới đây tại", "tại bảng", "bảng", "quay lại", "theo quy định")
 OUT_OF_UNNUMBERED = ("cước đảo chuyển", "lưu ý", "chú ý", "dưới đây tại", "tại bảng", "theo quy định")
+#: Names of the marks of a line, in the order of their bits.
+MARKS = (
+    "section", "title", "lettered", "header", "bare", "numbered", "row", "note", "bullet", "letters", "worded", "exempt", "route", "plan", "kinds",
+    "skipped", "raised", "priced", "enters", "leaves", "item", "sized", "typed", "sub",
+)
 MOST_PRICES, FULL_LINE, SHORT_LINE, MOST_LINES, MEMORY = 5, 4, 3, 50, 200
 SPECIAL = "1.1.4"
 
@@ -66,25 +71,38 @@ def is_route_line(line: Column | str) -> Column:
     return has("Tàu", "/", "Sà lan") | has("Xe", "Bãi")
 
 
-def described(line: Column) -> Column:
-    """All that the walk needs to know of a line."""
-    text = strip(line)
-    lower = F.lower(text)
+def marks(raw: Column, text: Column, lower: Column) -> dict[str, Column]:
+    """What the walk needs to know of a line, besides its text and prices."""
     has = lambda c, w: F.contains(c, F.lit(w))
-    return F.struct(
-        line.alias("raw"), text.alias("text"), is_section_heading(line).alias("section"), line.rlike(TITLE).alias("title"), line.rlike(LETTERED).alias("lettered"),
-        is_header_line(line).alias("header"), text.rlike(r"^\d+$").alias("bare"), text.rlike(r"^\d+(?:\s|$)").alias("numbered"), line.rlike(r"^\s*\d+\s+").alias("row"),
-        text.rlike(any_case(NOTE)).alias("note"), text.rlike(BULLET).alias("bullet"), text.rlike(r"\p{L}").alias("letters"), prices(text).alias("prices"),
-        lower.rlike(PRICE_WORDS).alias("worded"), (lower == EXEMPT.lower()).alias("exempt"), is_route_line(line).alias("route"), has(line, "Phương án").alias("plan"),
-        (has(line, "TT") & has(line, "Loại")).alias("kinds"), is_skipped(line).alias("skipped"), (has(line, AGREED) | has(line, "Tăng")).alias("raised"),
-        (line.rlike(r"\d+\.\d{3}") | has(line, AGREED)).alias("priced"), has(line, SPECIAL).alias("enters"), (line.rlike(r"^\d+\.\d+\.\s+") & ~has(line, SPECIAL)).alias("leaves"),
-        text.rlike(r"^[a-d]\.\s+").alias("item"), text.rlike(SIZE).alias("sized"), (has(lower, "khô") | has(lower, "lạnh")).alias("typed"),
-        (text.rlike(r"Tàu|Sà\s*lan|Xe|Bãi") & ~has(lower, "phương án")).alias("sub"),
-    )
+    return {
+        "section": text.rlike(SECTION), "title": raw.rlike(TITLE), "lettered": raw.rlike(LETTERED), "header": is_header_line(text), "bare": text.rlike(r"^\d+$"),
+        "numbered": text.rlike(r"^\d+(?:\s|$)"), "row": raw.rlike(r"^\s*\d+\s+"), "note": text.rlike(any_case(NOTE)), "bullet": text.rlike(BULLET), "letters": text.rlike(r"\p{L}"),
+        "worded": lower.rlike(PRICE_WORDS), "exempt": lower == EXEMPT.lower(), "route": is_route_line(raw), "plan": has(raw, "Phương án"), "kinds": has(raw, "TT") & has(raw, "Loại"),
+        "skipped": is_skipped(raw), "raised": has(raw, AGREED) | has(raw, "Tăng"), "priced": raw.rlike(r"\d+\.\d{3}") | has(raw, AGREED), "enters": has(raw, SPECIAL),
+        "leaves": raw.rlike(r"^\d+\.\d+\.\s+") & ~has(raw, SPECIAL), "item": text.rlike(r"^[a-d]\.\s+"), "sized": text.rlike(SIZE), "typed": has(lower, "khô") | has(lower, "lạnh"),
+        "sub": text.rlike(r"Tàu|Sà\s*lan|Xe|Bãi") & ~has(lower, "phương án"),
+    }
+
+
+def described(line: Column) -> Column:
+    """A line's text and prices, and its marks as bits."""
+
+    def known(z):
+        known_marks = marks(line, z["text"], z["lower"])
+        bits = reduce(lambda a, b: a + b, (F.when(known_marks[name], 1 << i).otherwise(0) for i, name in enumerate(MARKS)))
+        return F.struct(z["text"].alias("text"), prices(z["text"]).alias("prices"), bits.alias("marks"))
 
+    return let(strip(line), lambda t: let(F.struct(t.alias("text"), F.lower(t).alias("lower")), known))
 
-class Line(dict):
-    __getattr__ = dict.__getitem__
+
+class Line:
+    __slots__ = ("text", "prices", "marks")
+
+    def __init__(self, text: str, prices: list[str], marks: int):
+        self.text, self.prices, self.marks = text, prices, marks
+
+    def __getattr__(self, name: str) -> bool:
+        return bool(self.marks >> MARKS.index(name) & 1)
 
 
 @dataclass
@@ -229,7 +247,7 @@ def header_lines(lines: Sequence[Line]) -> tuple[str, str]:
     for line in lines[1:6]:
         if not line.text or (line.numbered and not line.bare):
             continue
-        if line["sub"]:
+        if line.sub:
             subs.append(line.text)
         elif line.sized:
             sizes.append(line.text)
@@ -332,7 +350,7 @@ def walked(lines: Sequence[Line]) -> str:
             block, at = found
             out += boxed(block)
         elif not line.skipped:
-            plain = line.text[0] in "-*•" or (special[here] and not line["item"])
+            plain = line.text[0] in "-*•" or (special[here] and not line.item)
             out.append(line.text if plain else f"• {line.text}")
     return "\n".join(out)
 
@@ -342,13 +360,22 @@ def described_lines(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.transform(F.split("text", "\n", -1), described).alias("lines"))
 
 
+def line_lists(column) -> Iterator[list[Line]]:
+    """The lines of each document, from an Arrow array of described lines."""
+    flat = column.flatten()
+    lines = list(map(Line, *(flat.field(k).to_pylist() for k in range(3))))
+    ends = column.offsets.to_pylist()
+    for a, b in zip(ends, ends[1:]):
+        yield lines[a - ends[0] : b - ends[0]]
+
+
 def text_bullets(docs: DataFrame) -> DataFrame:
     """BUL10: document_id, text of documents with tables as plain text."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [walked([Line(x) for x in lines or []]) for lines in b.column(1).to_pylist()]
+            texts = [walked(lines) for lines in line_lists(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["document_id", "text"])
 
     clean = docs.select("document_id", remove_watermark(F.coalesce("text", F.lit(""))).alias("text"))
@@ -361,7 +388,7 @@ def parse_text_tables(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, i, r.num, r.description, r.prices) for d, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, r in enumerate(rows_of([Line(x) for x in lines or []]))]
+            rows = [(d, i, r.num, r.description, r.prices) for d, lines in zip(b.column(0).to_pylist(), line_lists(b.column(1)), strict=True) for i, r in enumerate(rows_of(lines))]
             if rows:
                 d, i, n, s, p = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(i, pa.int32()), pa.array(n), pa.array(s), pa.array(p, pa.list_(pa.string()))], names=["document_id", "row_no", "num", "description", "prices"])
