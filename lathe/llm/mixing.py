@@ -2,7 +2,7 @@
 
 Every source has a weight and a schedule, a piecewise linear curve over training time 0..1. A source's target is its
 weight's share of all words, at most `most_epochs` times its own words; what that cuts off is shared by weight among
-the others (solved in closed form over the sources in order of cap / weight). Its documents lie in hash order, one
+the others. Its documents lie in hash order, one
 epoch after another, on the axis of its token demand; the integral of its schedule, scaled to the target, is
 the demand reached by each time, and inverting it (a quadratic in each segment) turns a document's place on that axis
 into its training position. Documents are range-sorted by position.
@@ -51,19 +51,31 @@ def position(share, segs):
     return seg["t"] + F.when(rest <= 0, F.lit(0.0)).otherwise(2 * rest / (seg["h"] + F.sqrt(F.greatest(seg["h"] * seg["h"] + 2 * seg["m"] * rest, F.lit(0.0)))))
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """Adds ord, the place of each source by code point, null last: rows are range-sorted, numbered in their partition, and the partitions' sizes are added up (a row a partition)."""
+    order = (F.col("source").isNull(), F.col("source"))
+    s = materialize(sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mixing-sources")
+    parts = s.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("earlier"))
+    s = s.join(F.broadcast(parts), "part").withColumn("ord", F.col("earlier") + F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1)
+    return s.drop("part", "earlier")
+
+
 def targets(sources: DataFrame, weights: Sequence[float], most_epochs: int) -> DataFrame:
-    """source, ord, source_size, target of each source. Its rows are as many as sources, so one window holds them."""
-    order = W.orderBy(F.col("source").isNull(), "source")
-    s = sources.withColumn("ord", F.row_number().over(order) - 1)
+    """source, ord, source_size, target of each source. Their number isn't bounded, so they are never in one task: the level to which the weights
+    rise is found by sums over all sources, with those capped that it passes, until no more are."""
+    s = numbered(sources)
     s = s.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("ord") % len(weights) + 1).cast("int")))
-    s = s.withColumn("cap", F.col("source_size") * most_epochs)
-    by_cap = W.orderBy(F.col("cap") / F.col("weight"), "ord")
-    before, after = by_cap.rowsBetween(W.unboundedPreceding, -1), by_cap.rowsBetween(0, W.unboundedFollowing)
-    s = s.withColumn("level", (F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
-    free = s.withColumn("free", F.col("level") * F.col("weight") <= F.col("cap"))
-    free = free.withColumn("final", F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(by_cap.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    share = F.coalesce(F.col("final"), F.lit(float("inf"))) * F.col("weight")
-    return free.select("source", "ord", "source_size", F.when(F.col("cap") < share, F.col("cap").cast("double")).otherwise(share).alias("target"))
+    s = materialize(s.withColumn("cap", F.col("source_size") * most_epochs), "mixing-caps")
+    level, n_capped = -1.0, -1
+    while True:
+        capped = F.col("cap") < F.lit(level) * F.col("weight")
+        total, caps, free, n = s.agg(F.sum("source_size"), F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("weight"))), F.count_if(capped)).first()
+        if n == n_capped or not free:
+            break
+        level, n_capped = (total - (caps or 0)) / free, n
+    share = F.lit(level) * F.col("weight")
+    return s.select("source", "ord", "source_size", F.when(F.col("cap") < share, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), schedules=SCHEDULES, most_epochs: int = 3, carry: Sequence[str] = ()) -> DataFrame:
@@ -112,7 +124,8 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    position = F.when(F.col("first") < 2, F.round("first", 6))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", position.alias("position"))
 
 
 SQL = r"""
@@ -121,8 +134,12 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER
 w AS (SELECT *, (ord % 3 + 1)::DOUBLE AS weight, 3 * source_size AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(weight) OVER (ORDER BY cap / weight, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT *, (SELECT min_by(level, (cap / weight, ord)) FROM l WHERE level * weight <= cap) AS final FROM l),
-t AS (SELECT source, source_size, CASE WHEN cap < coalesce(final, 'inf'::DOUBLE) * weight THEN cap::DOUBLE ELSE coalesce(final, 'inf'::DOUBLE) * weight END AS target FROM f),
-p AS (SELECT doc_id, size, source_size, target, least(floor(target + 0.5)::BIGINT, 3 * source_size) AS words,
-  (sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN ((words // source_size) * size + greatest(0, least(size, words % source_size - before)))::BIGINT ELSE 0 END AS taken FROM p
+t AS (SELECT source, source_size, ord, CASE WHEN cap < coalesce(final, 'inf'::DOUBLE) * weight THEN cap::DOUBLE ELSE coalesce(final, 'inf'::DOUBLE) * weight END AS target FROM f),
+p AS (SELECT doc_id, size, source_size, target, ord, least(floor(target + 0.5)::BIGINT, 3 * source_size) AS words,
+  (sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before, ord % 3 AS schedule FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, CASE WHEN source_size > 0 THEN ((words // source_size) * size + greatest(0, least(size, words % source_size - before)))::BIGINT ELSE 0 END AS taken, before / greatest(words, 1)::DOUBLE AS share FROM p),
+g AS (SELECT *, CASE WHEN schedule = 0 THEN [0, 1, 0, 0]::DOUBLE[]
+  WHEN schedule = 1 THEN CASE WHEN share < 0.625e0 THEN [0, 1.5, -1, 0]::DOUBLE[] ELSE [0.5, 1, -1, 0.625]::DOUBLE[] END
+  WHEN share < 0.15e0 / 0.9375e0 THEN [0, 0.25e0 / 0.9375e0, 0.5e0 / 0.3e0 / 0.9375e0, 0]::DOUBLE[] ELSE [0.3, 0.75e0 / 0.9375e0, 0.75e0 / 0.7e0 / 0.9375e0, 0.15e0 / 0.9375e0]::DOUBLE[] END AS s FROM k)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(s[1] + CASE WHEN share <= s[4] THEN 0 ELSE 2 * (share - s[4]) / (s[2] + sqrt(greatest(s[2] * s[2] + 2 * s[3] * (share - s[4]), 0))) END, 6) END AS position FROM g
 """
