@@ -63,18 +63,34 @@ AGAINST = r"(?i)(?:token|secret|passw|hash|sha|key|uuid|version|isbn)[^\x20]{0,8
 LABELERS = ("pattern", "structure", "gazetteer", "context", "edges")
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the leftmost matches that don't overlap."""
+def matches(text: Column, pattern: str, hand: int = 256) -> Column:
+    """Array of (start, end, value) of the leftmost matches that don't overlap.
+
+    Lengths are added up hand by hand and the hands put together, since adding to an array copies it."""
     p = F.lit(pattern)
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("a"), F.regexp_extract_all(text, p, F.lit(0)).alias("b"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    kind = "array<struct<start:int,end:int,value:string>>"
+    span = lambda s, e, v: F.struct(s.alias("start"), e.alias("end"), v.alias("value"))
 
     def step(acc, pair):
         s = acc["at"] + F.char_length(pair["a"])
         e = s + F.char_length(pair["b"])
-        return F.when(pair["b"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), pair["b"].alias("value")))).alias("out")))
+        return F.when(pair["b"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(span(s, e, pair["b"]))).alias("out")))
+
+    def within(part):
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step)
+
+    def after(acc, done):
+        moved = F.transform(done["out"], lambda m: span(m["start"] + acc["at"], m["end"] + acc["at"], m["value"]))
+        return F.struct((acc["at"] + done["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def placed_all(pairs):
+        begins = F.array_compact(F.transform(pairs, lambda x, i: F.when(i % hand == 0, i + 1)))
+        parts = F.transform(begins, lambda i: within(F.slice(pairs, i, F.lit(hand))))
+        whole = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), after)
+        return F.when(F.size(pairs) <= hand, within(pairs)["out"]).otherwise(F.flatten(whole["out"]))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return F.element_at(F.transform(F.array(pairs), placed_all), 1)  # so that the text is searched once
 
 
 def digits(value: Column) -> Column:
