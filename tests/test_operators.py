@@ -1,11 +1,16 @@
 """Small hand-derived cases of the document operators."""
 
+import random
+import re
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from lathe.functions import text as X
 from lathe.operators import bullets as B
 from lathe.operators import chunks as C
+from lathe.operators import edges as E
 from lathe.operators import html as H
 from lathe.operators import pdf as P
 from lathe.operators import split as S
@@ -175,6 +180,50 @@ def test_preamble_and_clauses(spark):
     assert [r.metadata.clause_number for r in C.level_two(chunks, s).where("type = 'clause'").orderBy("chunk_ord").collect()] == ["1", "2"]
 
 
+def test_cross_references_lose_nothing(spark):
+    """Meeting by equal keys finds what comparing each reference with each chunk finds: parts of ids, beginnings of title words, first chunk first."""
+    rng = random.Random(4)
+    word = lambda: rng.choice(["Bảng", "bảng", "Điều", "Khoản", "Khoản 2 Điều", "x"]) + rng.choice([" ", "  ", "-"]) + rng.choice(["1", "12", "2", "23-TT.9", "IV", "a1"])
+    rows = []
+    for i in range(160):
+        kind = rng.choice(["table", "article", "clause", "section"])
+        number = rng.choice([None, "1", "12", "2", "Bảng 12", "23-TT", "IV"])
+        rows.append((f"d{i % 8}", i // 8, f"c{i}", kind, rng.choice([word(), f"{word()} và {word()}", "không", ""]), " ".join(word() + rng.choice([" ", ", ", ". "]) for _ in range(rng.randint(0, 5))), number))
+    df = spark.createDataFrame(rows, "document_id string, chunk_ord int, chunk_id string, type string, title string, content string, number string")
+    df = df.withColumn("metadata", C.closed({"table_id": F.col("number"), "article_number": F.col("number"), "clause_number": F.col("number")}))
+    links = schema("pricing").links + schema("regulation").links
+    got = sorted((r.document_id, r.source_chunk_id, r.ord, r.type, r.target_chunk_id) for r in E.cross_references(df, SimpleNamespace(links=links)).collect())
+
+    def ref_id(ref):
+        for key, pattern, flags in (("Bảng", r"Bảng\s+([\d\w-]+)", re.I), ("Điều", r"Điều\s+(\d+)", 0), ("Khoản", r"Khoản\s+(\d+)", 0)):
+            if key in ref:
+                return m.group(1) if (m := re.search(pattern, ref, flags)) else None
+        return None
+
+    def answers(c, ref, n):
+        id_ = c[6] or ""
+        return (c[3] == "table" and n in id_) or (c[3] in ("article", "clause") and id_ == n) or ref.lower() in c[4].lower()
+
+    want = []
+    for d, _, c, _, _, text, _ in rows:
+        at = 0
+        for link in links:
+            for m in re.finditer(link["pattern"], text, re.I):
+                n = ref_id(m.group())
+                hits = [x for x in rows if n and x[0] == d and answers(x, m.group(), n)]
+                if hits:
+                    want.append((d, c, at, link["type"], min(hits, key=lambda x: x[1])[2]))
+                at += 1
+    assert got == sorted(want) and len(want) > 100
+
+
+def test_exception_edges(spark):
+    sch = schema("regulation")
+    one = C.level_one(docs(spark, "Điều 1\nXem Điều 2\nĐiều 2\nKhông áp dụng cho hàng B."), sch)
+    edges = E.domain(one.unionByName(C.level_two(one, sch))).collect()
+    assert edges and {r.type for r in edges} == {"exception"} and all("_sub_cond_" in r.target_chunk_id for r in edges)
+
+
 def test_html():
     assert H.markdown_html("# A\n\nb\nc\n\n- x") == "<h1>A</h1>\n<p>b<br />\nc</p>\n<ul><li>x</li></ul>"
 
