@@ -306,6 +306,40 @@ def test_media(spark, docs):
         media.read_png(png[:60] + bytes([png[60] ^ 1]) + png[61:])
 
 
+def test_media_query(spark, tmp_path):
+    """Every column that follows from the text, on nulls, repeated rows, sizes at the padding's edge, a long text and a column that clashes."""
+    texts = [None, "", "a", "é" * 287, "x" * 575, "x" * 576, "x" * 577, LONG, "\xff 你好 \U0001f600", "a"]
+    rows = [(i if i % 4 else None, t, "m") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, media string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for d, t, _ in rows:
+        raw = (t or "").encode()
+        whole = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        want[d, len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:])] += 1
+    got = media.query(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    same = {(r.media_bytes, r.media_sha256, r.feature) for r in got if r.payload_sha256 == hashlib.sha256(b"a" + b"\xff" * 575).hexdigest()}
+    assert len(same) == 1 and all(len(r.feature) == 16 and r.media_bytes > 0 and len(r.media_sha256) == 64 for r in got)
+
+
+def test_token_and_packing_queries(spark, tmp_path):
+    """op2 and op3 on clashing columns, null and repeated ids and rows."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(huffman.tokenizer_path())
+    rows = [(i % 5 if i % 7 else None, t_, 1, "s") for i, t_ in enumerate([None, "", "a b", LONG, "a b", "tab\there", "é 你好", *(" ".join(VOCAB[:n]) for n in range(1, 60))])]
+    spark.createDataFrame(rows, "doc_id long, text string, start long, ids string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    crc = lambda x, end: zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, end], dtype="<u4").tobytes())
+    got = sorted(huffman.query(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((d, crc(x, 0)) for d, x, *_ in rows)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids)
+    whole = Counter((r.doc_id, r.ids_crc32) for r in packing.query(spark, str(tmp_path)).collect() if r.length == r.doc_tokens)
+    want = Counter((d, crc(x, 1)) for d, x, *_ in rows if x != LONG)
+    assert whole == want
+
+
 def test_unfilter():
     x = np.random.default_rng(3).integers(0, 256, (5, 6), dtype=np.uint8).astype(int)
     lines = np.zeros((5, 6), dtype=np.uint8)

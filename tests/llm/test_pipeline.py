@@ -114,7 +114,7 @@ def copies(rows):
 
 
 def test_mixing(spark):
-    rows = [(i, words(RNG.randint(1, 60)), "abc"[i % 3]) for i in range(90)] + [(100, words(7), None), (None, words(9), None), (101, "", "a"), (102, None, "b"), (None, words(11), "c")]
+    rows = [(i, words(RNG.randint(1, 60)), "abc"[i % 3]) for i in range(90)] + [(100, words(7), None), (None, words(9), None), (101, "", "a"), (102, None, "b"), (None, words(11), "c"), *[(103, words(8), "c")] * 3, *[(None, None, None)] * 2]
     want = copies(rows)
     assert Counter(staged(spark, "mixing", rows)) == want and max(want.values()) > 1
 
