@@ -291,9 +291,9 @@ def render_markdown(docs: DataFrame) -> DataFrame:
         filled.where(~F.col("table") & ~F.col("after")).select("document_id", F.col("line_no").alias("at"), F.lit(1).alias("late"), F.when(F.startswith(text, F.lit("#")), title_lines("line")).otherwise(F.filter(F.array(plain_line("line")), lambda x: x.isNotNull())).alias("out")),
         lines.where("blank").select("document_id", F.col("line_no").alias("at"), F.lit(1).alias("late"), F.lit(None).cast("array<string>").alias("out")),
     ]
-    both = reduce(DataFrame.unionByName, parts).where("out is null or size(out) > 0")
-    before = F.lag(F.coalesce(F.element_at("out", -1), F.lit(""))).over(W.partitionBy("document_id").orderBy("at", "late"))
-    both = both.withColumn("before", before).withColumn("out", F.coalesce("out", F.when(F.col("before") != "", F.array(F.lit("")))))
-    return both.where("out is not null").groupBy("document_id").agg(F.array_join(F.flatten(ordered("out", F.struct("at", "late"))), "\n").alias("text"))
-
-
+    both = reduce(DataFrame.unionByName, parts)
+    # a blank line comes out, or none does because the last one is blank already
+    last = F.when(F.col("out").isNull(), F.lit("")).when(F.size("out") > 0, F.element_at("out", -1))
+    before = F.last(last, ignorenulls=True).over(W.partitionBy("document_id").orderBy("at", "late").rowsBetween(W.unboundedPreceding, -1))
+    out = F.coalesce("out", F.when(before != "", F.array(F.lit(""))), F.array().cast("array<string>"))
+    return both.withColumn("out", out).groupBy("document_id").agg(F.array_join(F.flatten(ordered("out", F.struct("at", "late"))), "\n").alias("text"))
