@@ -53,17 +53,23 @@ def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in training order. A copy that the mix cuts stays whole if half or more of its words are taken; documents without words stay once."""
+    """Each document as often as the mix takes it, in training order. A copy that the mix cuts stays whole if half or more of its words are taken; documents without words stay once.
+
+    Only short rows are mixed, under a 128-bit hash of all columns; whole rows (rows that are equal in every column: one of them) are joined to the positions once.
+    """
+    hashes = [F.xxhash64(F.lit(k), *docs.columns).alias(f"__{k}") for k in (0, 1)]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *hashes).groupBy("__0", "__1").agg(F.any_value("row").alias("row"))
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    mixed = mixing.mix(docs.withColumn("source", source), carry=docs.columns)
+    mixed = mixing.mix(docs.select("doc_id", "text", source.alias("source"), *hashes), carry=["__0", "__1"])
     each = mixed.select("row", "size", F.explode("epochs").alias("e")).where(F.col("e.words") * 2 >= F.col("size")).select(F.col("e.position").alias("position"), "row")
-    each = each.union(mixed.where("size = 0").select(F.lit(2.0).alias("position"), "row"))
-    return each.repartitionByRange("position", "row.doc_id").sortWithinPartitions("position", "row.doc_id").select("row.*")
+    each = each.union(mixed.where("size = 0").select(F.lit(2.0).alias("position"), "row")).select("position", "row.*")
+    placed = materialize(rows.join(each, ["__0", "__1"]).select("position", "row"), "pipeline-mixed")
+    return placed.repartitionByRange("position", "row.doc_id").sortWithinPartitions("position", "row.doc_id").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. The workers have served earlier stages, so the encoder's cache is smaller."""
-    return packing.digest(packing.pack(docs, most_cuts=150_000))
+    """Pieces of sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    return packing.digest(packing.pack(docs))
 
 
 STAGES = [
