@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Java form of the word pattern of all contracts here: runs of anything but ASCII white space.
@@ -32,11 +32,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and a lost executor costs no recomputation. The result knows its path (scratch) and number of rows (n_rows), which the write counts."""
+    path, seen = scratch_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch = path
+    out.scratch, out.n_rows = path, seen.get["rows"]
     return out
 
 

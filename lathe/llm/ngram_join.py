@@ -12,15 +12,15 @@ Candidates. Two sets of Jaccard >= t share an n-gram among the first n - ceil(t
 such an n-gram form a block; a pair is looked at only where the places of the n-gram in both sets, if it is their first
 common one, leave room for enough others. A block isn't expanded into pairs: its smallest class serves as hub and is
 paired with the others, and has then done its part in the block. After links have been counted and components found,
-blocks whose classes lie in one component are done. In those left, more classes serve as hubs (eight times as many each
+blocks whose classes lie in one component are done. In those left, more classes serve as hubs (six times as many each
 round) for classes of other components. So no link between different components is missed, and classes that are
 already connected are never paired.
 
 Counting. The global order is cut into fragments. The prefixes, its first part, are intersected first, and give an
 upper bound that drops most pairs; for the rest, overlaps are counted for every fragment separately and summed a pair.
 
-Components are found by large-star and small-star steps over tables; nothing that grows with the documents reaches the
-driver. Finished steps are written to the shared folder; those that nothing reads any more are deleted.
+Components are found by large-star and small-star steps over tables (few links: in one task); nothing that grows with
+the documents reaches the driver. Finished steps are written to the shared folder; those that nothing reads any more are deleted.
 
 Nulls: a null or empty text has an empty set (0 n-grams), linked with nothing; its component is its own doc_id. A
 row with a null doc_id takes part by its text; a component's id is the smallest doc_id that isn't null. Repeated rows
@@ -44,12 +44,12 @@ from lathe.llm.words import Hasher, signatures
 #: N-grams of so many documents are frequent; at most so many of them are known to the tasks (8 bytes each).
 FREQUENT, MOST_FREQUENT = 24, 1_000_000
 #: N-grams that a task packs at once, and that a range to be counted holds on average.
-CHUNK, RANGE = 4_000_000, 2_000_000
+CHUNK, RANGE = 2_000_000, 2_000_000
 FRAGMENTS = 4
 #: How many more hubs serve in each block in the next round.
-FASTER = 8
-#: Up to so many classes (16 bytes each), the list of those whose texts are needed is broadcast.
-FEW = 500_000
+FASTER = 6
+#: Tables of so many rows or fewer (some 16 to 40 bytes each) are broadcast, and as many links joined up in one task.
+FEW = 200_000
 BITS = 62
 
 
@@ -75,7 +75,7 @@ def summarised(rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             flat, n = hasher.sets(b.column(2), size)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (n, *signatures(flat, n)))], names=["doc_id", "key", "n", "a", "b"])
 
@@ -98,7 +98,7 @@ def frequent_grams(rows: DataFrame, size: int, total: int) -> tuple[np.ndarray,
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, n_held, seen = Hasher(), [], 0, set()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             flat, n = hasher.sets(b.column(0), size)
             a, c = signatures(flat, n)
             ends = np.cumsum(n)
@@ -148,7 +148,7 @@ def prefixes(rows: DataFrame, size: int, t: int, frequent: np.ndarray, shift: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             flat, n = hasher.sets(b.column(0), size)
             sig = signatures(flat, n)
             flat, starts, at = ordered(flat, n, frequent, shift), np.cumsum(n) - n, firsts(n, *sig)
@@ -162,7 +162,7 @@ def prefixes(rows: DataFrame, size: int, t: int, frequent: np.ndarray, shift: in
 
 
 def fragments(rows: DataFrame, size: int, frequent: np.ndarray, shift: int, cuts: int = FRAGMENTS) -> DataFrame:
-    """rows: node, n, a, b, text. node, n, fragment, grams: the set's parts in equal ranges of the global order, frequent ones last. Rows whose text isn't the class's (of the same doc_id) are left out."""
+    """rows: node, n, a, b, text. node, n, grams: the set's parts in equal ranges of the global order, frequent ones last. Rows whose text isn't the class's (of the same doc_id) are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -170,21 +170,54 @@ def fragments(rows: DataFrame, size: int, frequent: np.ndarray, shift: int, cuts
         for b in slices(batches, "text", 2 << 20):
             flat, n = hasher.sets(b.column(4), size)
             right = np.logical_and.reduce([b.column(k + 1).to_numpy() == x for k, x in enumerate((n, *signatures(flat, n)))]) & (n > 0)
-            flat, out = ordered(flat, n, frequent, shift), []
-            ends = np.cumsum(n)
-            for i in np.flatnonzero(right).tolist():
-                part = flat[ends[i] - n[i] : ends[i]]
-                marks = [0, *np.searchsorted(part, bounds).tolist(), len(part)]
-                out += [(i, f, part[x:y]) for f, (x, y) in enumerate(zip(marks, marks[1:])) if y > x]
-            if out:
-                i, f, part = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(n[list(i)]), pa.array(f, pa.int32()), lists(np.concatenate(part), np.array([len(x) for x in part]))], names=["node", "n", "fragment", "grams"])
+            flat, ends, at = ordered(flat, n, frequent, shift), np.cumsum(n), np.flatnonzero(right)
+            if not len(at):
+                continue
+            sets = [flat[ends[i] - n[i] : ends[i]] for i in at.tolist()]
+            lengths = np.concatenate([np.diff(np.searchsorted(x, bounds), prepend=0, append=len(x)) for x in sets])
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(lengths) + 1, cuts).astype(np.int32)), lists(np.concatenate(sets), lengths))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(n[at]), parts], names=["node", "n", "grams"])
+
+    return rows.mapInArrow(run, "node long, n long, grams array<array<long>>")
+
+
+def few(written: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """A written table (or df, what is selected from it), marked for a broadcast if its counted rows are few."""
+    df = written if df is None else df
+    return F.broadcast(df) if written.n_rows <= FEW else df
+
+
+def only(b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of b whose v is in the pairs; so the others aren't shuffled."""
+    return b.join(few(pairs, pairs.select("v")), "v", "left_semi")
+
+
+def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all links u, v: each node with the smallest node of its component, itself left out."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (y := up.get(top, top)) != top:
+            top = y
+        while (y := up.get(x, x)) != top:
+            up[x], x = top, y
+        return top
 
-    return rows.mapInArrow(run, "node long, n long, fragment int, grams array<long>")
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = root(u), root(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    nodes = [x for x in up if root(x) != x]
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["u", "v"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component, itself left out) of undirected links u, v."""
+def components(links: DataFrame, n_links: int, most_at_once: int = FEW) -> DataFrame:
+    """u, v: each node and its root (the smallest node of its component, itself left out) of undirected links u, v. Up to most_at_once links are joined up in one task, more by large-star and small-star steps."""
+    if n_links <= most_at_once:
+        return materialize(links.select("u", "v").coalesce(1).mapInArrow(joined_up, "u long, v long"), "edges")
     edges = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
@@ -217,7 +250,7 @@ def bounded(pairs: DataFrame, prefix: DataFrame, t: int) -> DataFrame:
     """Of pairs u, v those whose prefixes allow enough overlap."""
     a = prefix.select(F.col("node").alias("u"), F.col("n").alias("n1"), F.col("prefix").alias("p1"))
     b = prefix.select(F.col("node").alias("v"), F.col("n").alias("n2"), F.col("prefix").alias("p2"))
-    both = pairs.join(a, "u").join(b, "v")
+    both = a.join(few(pairs), "u").join(only(b, pairs), "v")
     cut = F.least(F.element_at("p1", -1), F.element_at("p2", -1))
     rest = lambda n, p: F.col(n) - F.size(F.filter(p, lambda x: x <= F.col("cut")))
     both = both.withColumn("cut", cut)
@@ -226,12 +259,13 @@ def bounded(pairs: DataFrame, prefix: DataFrame, t: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """Of pairs u, v those that are similar: partial overlaps by fragment, summed. (A node's fragment may come twice, from repeated rows.)"""
-    a = sets.select(F.col("node").alias("u"), F.col("n").alias("n1"), "fragment", F.col("grams").alias("g1"))
-    b = sets.select(F.col("node").alias("v"), F.col("n").alias("n2"), "fragment", F.col("grams").alias("g2"))
-    parts = pairs.join(a, "u").join(b, ["v", "fragment"]).select("u", "v", "n1", "n2", "fragment", F.size(F.array_intersect("g1", "g2")).cast("long").alias("part"))
-    once = parts.groupBy("u", "v", "n1", "n2", "fragment").agg(F.max("part").alias("part"))
-    return once.groupBy("u", "v", "n1", "n2").agg(F.sum("part").alias("overlap")).where(similar(F.col("overlap"), F.col("n1"), F.col("n2"), t)).select("u", "v")
+    """Of pairs u, v those that are similar: partial overlaps, counted fragment by fragment, summed. (A pair may come twice, from repeated rows.)"""
+    a = sets.select(F.col("node").alias("u"), F.col("n").alias("n1"), F.col("grams").alias("g1"))
+    b = sets.select(F.col("node").alias("v"), F.col("n").alias("n2"), F.col("grams").alias("g2"))
+    parts = F.zip_with("g1", "g2", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
+    overlap = F.aggregate(parts, F.lit(0).cast("long"), lambda total, part: total + part)
+    both = a.join(few(pairs), "u").join(only(b, pairs), "v")
+    return both.where(similar(overlap, F.col("n1"), F.col("n2"), t)).select("u", "v")
 
 
 def blocks_of(prefix: DataFrame) -> DataFrame:
@@ -263,7 +297,7 @@ def hubs_of(left: DataFrame, many: int) -> DataFrame:
 
 def further(left: DataFrame, hubs: DataFrame, tried: DataFrame, t: int) -> DataFrame:
     """Pairs of hubs with the classes of other components in their block, not tried before."""
-    both = hubs.join(left, (hubs["x"] == left["x"]) & (F.col("root") != F.col("root1")) & possible("n1", "p1", "n", "pos", t))
+    both = left.join(few(hubs), (hubs["x"] == left["x"]) & (F.col("root") != F.col("root1")) & possible("n1", "p1", "n", "pos", t))
     pairs = both.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
     return pairs.join(tried, ["u", "v"], "left_anti")
 
@@ -271,7 +305,7 @@ def further(left: DataFrame, hubs: DataFrame, tried: DataFrame, t: int) -> DataF
 def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """node, n, a, b, text: of each of nodes the text of one row (or of a few, if rows share a key). A short list is broadcast, a longer one joined."""
     wanted = materialize(nodes.join(classes, "node").select("key", "node", "n", "a", "b"), "join-wanted")
-    return rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "key").select("node", "n", "a", "b", "text")
+    return rows.join(few(wanted), "key").select("node", "n", "a", "b", "text")
 
 
 def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -298,7 +332,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     many = 1
     while True:
         good = materialize(bounded(pairs, prefix, t), "join-bounded")
-        if edges is None or not good.isEmpty():
+        if edges is None or good.n_rows:
             nodes = good.select(F.col("u").alias("node")).union(good.select(F.col("v").alias("node"))).distinct()
             if sets is not None:
                 nodes = nodes.join(sets.select("node").distinct(), "node", "left_anti")
@@ -306,20 +340,20 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
             sets = more if sets is None else sets.union(more)
             links = materialize(linked(good, sets, t), "join-links")
             if edges is None:
-                edges = components(links)
-            elif not links.isEmpty():
-                old, edges = edges, components(links.union(edges))
+                edges = components(links, links.n_rows)
+            elif links.n_rows:
+                old, edges = edges, components(links.union(edges), links.n_rows + edges.n_rows)
                 discard(old)
             discard(links)
         discard(good)
         roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         if hubs is not None:  # a class that has served as hub of a block is paired with all others there, so it is left out from now on
-            left_over = left.join(hubs.select("x", F.col("u").alias("node")), ["x", "node"], "left_anti")
-        old, left = left, materialize(unfinished(left_over, roots), "join-left")
+            left_over = left.join(few(hubs, hubs.select("x", F.col("u").alias("node"))), ["x", "node"], "left_anti")
+        old, left = left, materialize(unfinished(left_over, few(edges, roots)), "join-left")
         for done in (old, hubs) if hubs is not None else (old,):
             discard(done)
         release(spark)
-        if left.isEmpty():
+        if not left.n_rows:
             break
         many *= FASTER
         hubs = materialize(hubs_of(left, many), "join-hubs")

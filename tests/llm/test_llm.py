@@ -146,7 +146,7 @@ def test_components_both_ways(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i + 1000, i + 1001) for i in range(60)]
     df = spark.createDataFrame([(u, v) for u, v in links if u != v], "u long, v long")
-    one, many = ({r.u: r.v for r in ngram_join.components(df, most).collect()} for most in (10_000, 0))
+    one, many = ({r.u: r.v for r in ngram_join.components(df, len(links), most).collect()} for most in (10_000, 0))
     assert one == many and one[1060] == 1000
 
 
