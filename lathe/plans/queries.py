@@ -320,6 +320,13 @@ def all_chunks(spark, sf_dir):
     return staged(one.unionByName(two), "chunks")
 
 
+def edge_chunks(spark, sf_dir):
+    """All chunks with what the edges need of them: texts and rows aren't written."""
+    s = schema("pricing")
+    rows = C.both_levels(C.level_one(R.rendered_orders(spark, sf_dir), s), s)
+    return C.numbered(staged(E.traits(rows, s, "from", "no"), "traits"))
+
+
 def edge(df):
     return df.select("document_id", "source_chunk_id", "type", "target_chunk_id")
 
@@ -331,7 +338,7 @@ def edges_hierarchical(spark, sf_dir):
 
 @query("edges_crossref", I + L2 + f" SELECT {EDGE} FROM x")
 def edges_crossref(spark, sf_dir):
-    return edge(E.deduplicated(E.cross_references(all_chunks(spark, sf_dir), schema("pricing"))))
+    return edge(E.deduplicated(E.cross_references(edge_chunks(spark, sf_dir), schema("pricing"))))
 
 
 @query("edges_domain", I + L2 + f" SELECT {EDGE} FROM dm")
@@ -341,7 +348,7 @@ def edges_domain(spark, sf_dir):
 
 @query("edges_dedup", I + L2 + " SELECT document_id, type, count(*) AS n FROM (SELECT * FROM h UNION SELECT * FROM x UNION SELECT * FROM dm) GROUP BY ALL")
 def edges_dedup(spark, sf_dir):
-    return E.map_relationships(all_chunks(spark, sf_dir), schema("pricing")).groupBy("document_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    return E.map_relationships(edge_chunks(spark, sf_dir), schema("pricing")).groupBy("document_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("validate_links", I + L2 + " SELECT document_id, type, count(*) AS n, count(*) FILTER (type = 'child') AS broken FROM h GROUP BY document_id, type")
