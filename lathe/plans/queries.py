@@ -323,7 +323,7 @@ def all_chunks(spark, sf_dir):
 def edge_chunks(spark, sf_dir):
     """All chunks with what the edges need of them: texts and rows aren't written."""
     s = schema("pricing")
-    rows = C.both_levels(C.level_one(R.rendered_orders(spark, sf_dir), s), s)
+    rows = C.both_levels(C.level_one(R.rendered_orders(spark, sf_dir), s), s, E.FIELDS)
     return C.numbered(staged(E.traits(rows, s, "from", "no"), "traits"))
 
 

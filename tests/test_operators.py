@@ -294,3 +294,21 @@ def test_match_tables_against_a_scan(spark):
             want[d, heading] = min(near)
             used.add(min(near)[1])
     assert {(r.document_id, r.heading_id): (r.distance, r.table_id) for r in found.collect()} == want
+
+
+def test_edges_from_traits_in_one_pass(spark, monkeypatch):
+    """Both levels in one pass have the ids, order and texts of the two steps; edges of traits, with asked keys in short lists, are those of whole chunks."""
+    s = schema("pricing")
+    text = "### I. A\nĐơn vị: VND\n### Bảng 7\n| TT | Hàng | 20' | 40' HC | Giá VND |\n| --- | --- | --- | --- | --- |\n| 1 | Phụ thu P1 | 2 | 3 | 5 |\n| 2 | P2 | 4 | 5 | 6 |\nGhi chú: phụ thu theo Bảng 7, xem Bảng 8"
+    one = C.level_one(docs(spark, text, "### X\ntheo Bảng 9"), s).localCheckpoint()
+    both = one.unionByName(C.level_two(one, s)).localCheckpoint()
+    columns = ["document_id", "chunk_ord", "chunk_id", "type", "title", "content", "relationships"]
+    rows = C.both_levels(one, s, E.FIELDS)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(C.numbered(rows).select(columns)) == key(both.select(columns))
+    want = key(E.map_relationships(both, s))
+    assert len(want) > 5
+    monkeypatch.setattr(E, "MOST_KEYS", 1)
+    narrow = C.numbered(E.traits(rows, s, "from", "no"))
+    assert "content" not in narrow.columns
+    assert key(E.map_relationships(narrow, s)) == want
