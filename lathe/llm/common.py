@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -13,6 +14,20 @@ from pyspark.sql import functions as F
 
 #: Java form of the word pattern of all contracts here: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch on the way to Python; a task's whole split of texts would otherwise be one, held in the JVM and in the worker.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Holds Arrow batches of what is run inside to BATCH_BYTES (one longer row comes alone); then the session's setting is as before."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +49,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and a lost executor costs no recomputation. The result knows its path (scratch) and number of rows (n_rows), which the write counts."""
     path, seen = scratch_path(df.sparkSession, name), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    with short_batches(df.sparkSession):
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch, out.n_rows = path, seen.get["rows"]
     return out

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import ExitStack
 
 import numpy as np
@@ -205,8 +205,12 @@ class Reader:
             held = held[n:]
 
 
-def token_table(docs: DataFrame, path: str, end_id: int, dtype: str = "<u4", most_cuts: int = 300_000) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned ids of the whole text, then end_id)."""
+def id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def encoding(path: str, end_id: int, dtype: str = "<u4", most_cuts: int = 300_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of doc_id, text to batches of doc_id, ids (binary: little-endian unsigned ids of the whole text, then end_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lathe.llm.tokens import encoder
@@ -219,7 +223,12 @@ def token_table(docs: DataFrame, path: str, end_id: int, dtype: str = "<u4", mos
             offsets = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1)) * width]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return run
+
+
+def token_table(docs: DataFrame, path: str, end_id: int, dtype: str = "<u4") -> DataFrame:
+    """doc_id, ids of each row."""
+    return id_and_text(docs).mapInArrow(encoding(path, end_id, dtype), "doc_id long, ids binary")
 
 
 def global_counts(rows: DataFrame, vocab: int, dtype: str) -> np.ndarray:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lathe.llm.common import discard, materialize, slices, table
+from lathe.llm.common import discard, materialize, short_batches, slices, table
 from lathe.llm.words import Hasher, signatures
 
 #: N-grams of so many documents are frequent; at most so many of them are known to the tasks (8 bytes each).
@@ -125,7 +125,8 @@ def frequent_grams(rows: DataFrame, size: int, total: int) -> tuple[np.ndarray,
 
     counted = rows.select("text").mapInArrow(send, "range long, ids binary").repartition("range").mapInArrow(count, "id long, n long")
     most = counted.orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id")
-    return np.sort(most.toArrow().column("id").to_numpy()).astype(np.int64), shift
+    with short_batches(rows.sparkSession):
+        return np.sort(most.toArrow().column("id").to_numpy()).astype(np.int64), shift
 
 
 def ordered(flat: np.ndarray, lengths: np.ndarray, frequent: np.ndarray, shift: int) -> np.ndarray:

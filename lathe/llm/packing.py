@@ -1,6 +1,6 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
-A task packs its own documents, group by group, without a shuffle. Whole windows are cut off long documents first.
+A task encodes and packs its own documents in one pass, group by group, without a shuffle (two passes in a row would keep twice as many Python workers alive). Whole windows are cut off long documents first.
 The rests of a group (about `group` windows' worth) are dealt to k windows by multiway differencing: every item is a
 partial partition of k loads; the two with the largest spread are merged, the heaviest window of one onto the lightest
 of the other, until one partition is left, whose windows are near-equal. k is the least number that could hold the
@@ -14,7 +14,7 @@ no pieces; other columns are ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.llm.common import table
-from lathe.llm.huffman import token_table, tokenizer_path
+from lathe.llm.huffman import encoding, id_and_text, tokenizer_path
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -90,8 +90,8 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[int]]:
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_tokens(rows: DataFrame, capacity: int = 2048, group: int = 128) -> DataFrame:
-    """rows: doc_id, ids (binary of unsigned 32-bit ids). A row a piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+def packing(capacity: int = 2048, group: int = 128) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of doc_id, ids (binary of unsigned 32-bit ids) to batches of SCHEMA, a row a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
@@ -131,7 +131,7 @@ def pack_tokens(rows: DataFrame, capacity: int = 2048, group: int = 128) -> Data
         if out:
             yield _batch(out)
 
-    return rows.select("doc_id", "ids").mapInArrow(run, SCHEMA)
+    return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -141,8 +141,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, most_cuts: int = 300_000, **options) -> DataFrame:
-    """most_cuts bounds the cache of each worker's encoder; it changes no result."""
-    return pack_tokens(token_table(docs, path or tokenizer_path(), end_id, most_cuts=most_cuts), **options)
+    """A row a piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset. most_cuts bounds the cache of each worker's encoder; it changes no result."""
+    encoded, packed = encoding(path or tokenizer_path(), end_id, most_cuts=most_cuts), packing(**options)
+    return id_and_text(docs).mapInArrow(lambda batches: packed(encoded(batches)), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

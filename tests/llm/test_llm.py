@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lathe.llm import exact_dedup, huffman, media, mixing, ngram_join, packing, pii, quality, toxicity, warc
+from lathe.llm import common, exact_dedup, huffman, media, mixing, ngram_join, packing, pii, quality, toxicity, warc
 
 SCHEMA = "doc_id long, text string, source string, row string, size long, h string"
 random.seed(5)
@@ -208,6 +208,22 @@ def test_token_files_and_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_in_one_python_pass(spark, docs):
+    """Two passes in one task would keep two workers alive for each core, beside every later stage."""
+    plan = packing.digest(packing.pack(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_arrow_batches_are_short(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('x', 10000) as text")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"]) for b in batches)
+    got = common.materialize(rows.mapInArrow(sizes, "n long, bytes long"), "test-batches").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 2 * common.BATCH_BYTES
+    assert spark.conf.get(key) == before
+
+
 def test_differencing():
     sizes = [random.randint(1, 900) for _ in range(200)]
     dealt = packing.differencing(sizes, 40)
