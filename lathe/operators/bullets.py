@@ -20,6 +20,10 @@ SKIPPED = (
     "ngày in:", "fax:", "địa chỉ:", "tổng công ty", "biểu giá dịch vụ tại cảng",
 )
 PAGE_MARKS, FOOTER = ("[Image on page", "<!-- Page"), ("Biểu giá dịch vụ tại cảng Tân Cảng", "từ ngày")
+# Of section 1.1.4: the repeated column heads, the running footer, and what stands for a line of routes. Begins of watermarks.
+REPEATED_HEAD, FOOTER_OF_PAGE = ("Phương án làm hàng", "TT Loại container"), ("Biểu giá dịch vụ tại cảng", "từ ngày")
+ROUTES = ("Từ tàu hoặc sà lan đến bãi hoặc từ bãi xuống tàu hoặc sà lan", "Từ xe xuống bãi hoặc từ bãi lên xe")
+WATERMARKS = (r"Người\s+(?:in|ký)", r"Ngày\s+in")
 REMARKS = ("ghi chú", "chú ý", "lưu ý", "cụ thể")
 NOTES = ("cước", "ghi chú", "chú ý", "lưu ý", "quy định", "được")
 ARTEFACTS = (r"in\s*:\s*$", r"ờ\s*i\s*$", r"ừ.*ng\s*$", r"ịn\s*r\s*T\s*$", r"@\s*k\s*")
@@ -190,7 +194,7 @@ def is_text_table(text: Column | str) -> Column:
 def remove_watermark(text: Column | str) -> Column:
     """BUL11: who printed or signed, and when, up to a blank line or a line that begins with a capital (A-Z)."""
     out = col(text)
-    for begin in (r"Người\s+(?:in|ký)", r"Ngày\s+in"):
+    for begin in WATERMARKS:
         out = F.regexp_replace(out, rf"(?s){begin}\s*:.*?(?=\n[A-Z]|\n\n|$)", "")
     return out
 
@@ -206,13 +210,13 @@ def cleaned_special_section(docs: DataFrame) -> DataFrame:
     line, text = F.col("line"), strip("line")
     has = lambda *words: reduce(lambda a, b: a & b, (F.contains(line, F.lit(w)) for w in words))
     lines = doc_lines(docs).withColumn("special", in_special_section(line))
-    head = F.col("special") & (text == "Phương án làm hàng") & (F.lead(text).over(by_line()) == "TT Loại container")
+    head = F.col("special") & (text == REPEATED_HEAD[0]) & (F.lead(text).over(by_line()) == REPEATED_HEAD[1])
     lines = lines.withColumn("head", F.coalesce(head, F.lit(False)))
     lines = lines.withColumn("again", F.col("head") & (F.sum(F.col("head").cast("int")).over(by_line().rowsBetween(W.unboundedPreceding, 0)) > 1))
     before = lambda n: F.coalesce(F.lag("again", n).over(by_line()), F.lit(False))
     repeated = F.col("again") | before(1) | (before(2) & has("Tàu/", "Sà lan"))
-    dropped = repeated | (F.col("special") & ((text == "5") | has("Biểu giá dịch vụ tại cảng", "từ ngày")))
-    routes = F.array(F.lit("Từ tàu hoặc sà lan đến bãi hoặc từ bãi xuống tàu hoặc sà lan"), F.lit("Từ xe xuống bãi hoặc từ bãi lên xe"))
+    dropped = repeated | (F.col("special") & ((text == "5") | has(*FOOTER_OF_PAGE)))
+    routes = F.array(*map(F.lit, ROUTES))
     kept = F.when(F.col("special") & has("Tàu/", "Sà lan", "Bãi"), routes).otherwise(F.array(line))
     lines = lines.withColumn("out", F.when(dropped, F.array().cast("array<string>")).otherwise(kept))
     return lines.groupBy("document_id").agg(F.array_join(F.flatten(ordered("out")), "\n").alias("text"))
@@ -239,11 +243,11 @@ def rejoined_rows(docs: DataFrame) -> DataFrame:
 
 def convert(docs: DataFrame) -> DataFrame:
     """BUL1: document_id, text: every document by the path that its form asks for."""
-    from lathe.operators.text_tables import text_bullets
+    from lathe.operators.text_tables import prepared, text_bullets
     from lathe.sources.scratch import staged
 
-    clean = staged(cleaned_special_section(docs), "bullets")
-    return render_markdown(clean.where(~is_text_table("text"))).unionByName(text_bullets(clean.where(is_text_table("text"))))
+    clean = staged(prepared(docs), "bullets")
+    return render_markdown(clean.where("not tables").drop("tables")).unionByName(text_bullets(clean.where("tables")))
 
 
 def plain_line(line: Column | str) -> Column:

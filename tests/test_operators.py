@@ -157,6 +157,34 @@ def test_text_bullets(spark):
     assert TT.text_bullets(docs(spark, untitled)).first().text.split("\n") == ["Phương án làm hàng", bar, "", "┃ TT 1: A", line, f"┃ • {'Price 1':25} → 1.000", "", "• b. Sau"]
 
 
+def test_lines_in_python_as_in_java(spark):
+    """Random lines and texts: the walk's answers are those of the Column forms."""
+    rng = random.Random(3)
+    bits = ["Tàu", "Tàu/", "Sà lan", "Sà  lan", "Xe", "Bãi", "Từ ", "↔", "→", "container ", "Container\u00a0", "khô", "LẠNH", "tt ", "Loại ", "phương\u2003án ", "Đơn vị tính", "20'", "40\u2019", "&", ",", "\r", "\u2028", "\u0085", "1", "12 ", "\u0665", "1.000", "1.2. ", "1.1.4", "a. ", "Bảng 1", "Bảng\n2", "|", " ", "\t", "\x1c", "Ghi chú:", "ghi\u2009chú :", "-", "• ", "½", "é", "Thỏa thuận", "Tăng", "fax:", "FAX:", "5"]
+    lines = ["".join(rng.choices(bits, k=rng.randint(0, 5))) for _ in range(1500)]
+    got = docs(spark, *lines).select("text", TT.is_header_line("text").alias("header"), TT.is_route_line("text").alias("route"), B.is_skipped("text").alias("skipped"), B.prices(X.strip("text")).alias("prices"), X.strip("text").rlike(TT.SECTION).alias("section"), X.strip("text").rlike(X.any_case(TT.NOTE)).alias("note"), X.strip("text").rlike(r"\p{L}").alias("letters")).collect()
+    assert [r for r in got if any(bool(getattr(TT.Line(r.text), k)) != r[k] for k in ("header", "route", "skipped", "section", "note", "letters")) or TT.Line(r.text).prices != r.prices] == []
+    parts = [*lines[:60], *["Phương án làm hàng\nTT Loại container", "Tàu/ Sà lan Bãi", "5", "1.1.4. x", "1.2. y", "Biểu giá dịch vụ tại cảng từ ngày", "Bảng 1", "| a |", "Người ký: a", "Ngày in: b", "Abc", ""] * 8]
+    texts = ["\n".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(600)]
+    frame = docs(spark, *texts)
+    want = B.cleaned_special_section(frame).select("document_id", "text", B.is_text_table("text").alias("tables"), B.remove_watermark("text").alias("plain")).collect()
+    assert sorted(want) == sorted((*r, TT.without_watermark(r.text)) for r in TT.prepared(frame).collect())
+    assert TT.prepared(docs(spark, None)).count() == 0
+
+
+def test_text_tables_need_no_exchange(spark, monkeypatch):
+    """A document is read where it lies, and equal lines are described once a task."""
+    frame = docs(spark, *["1. Mục\nBảng 1\n1 Xe 1.000 2.000\n1.1.4. Phụ\n5"] * 40).coalesce(1)
+    plans = [TT.prepared(frame), TT.text_bullets(frame), TT.parse_text_tables(frame)]
+    assert not any("Exchange" in p or "transform(" in p for p in (x._jdf.queryExecution().executedPlan().toString().replace("RoundRobin", "") for x in plans))
+    made = []
+    monkeypatch.setattr(TT, "Line", lambda raw, line=TT.Line: made.append(raw) or line(raw))
+    described = TT.Described()
+    for _ in range(40):
+        TT.walked(described.lines("1. Mục\nBảng 1\n1 Xe 1.000 2.000"))
+    assert len(made) == 3
+
+
 def test_render_markdown(spark):
     bar = "━" * 80
     text = "# T\n\n\nchữ\nGhi chú: a\nxem lưu ý\nEmail: x\n* m\n## Bảng 1\n| Phương án | Giá |\n|---|---|\n| | 20' |\n| A | 5 |\n\nbỏ\nsau\n<!-- Page 1 -->"
