@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lathe.functions import text as X
 from lathe.operators import chunks as C
+from lathe.operators import document_edges as DE
 from lathe.operators import edges as E
 from lathe.operators import split as S
 from lathe.operators import tables as TB
@@ -348,7 +349,7 @@ def edges_domain(spark, sf_dir):
 
 @query("edges_dedup", I + L2 + " SELECT document_id, type, count(*) AS n FROM (SELECT * FROM h UNION SELECT * FROM x UNION SELECT * FROM dm) GROUP BY ALL")
 def edges_dedup(spark, sf_dir):
-    return E.map_relationships(edge_chunks(spark, sf_dir), schema("pricing")).groupBy("document_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    return DE.edge_counts(R.rendered_orders(spark, sf_dir), schema("pricing"))
 
 
 @query("validate_links", I + L2 + " SELECT document_id, type, count(*) AS n, count(*) FILTER (type = 'child') AS broken FROM h GROUP BY document_id, type")

@@ -1,7 +1,9 @@
 """Small hand-derived cases of the document operators."""
 
+import dataclasses
 import random
 import re
+from collections import Counter
 from types import SimpleNamespace
 
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from lathe.functions import text as X
 from lathe.operators import bullets as B
 from lathe.operators import chunks as C
+from lathe.operators import document_edges as DE
 from lathe.operators import edges as E
 from lathe.operators import html as H
 from lathe.operators import pdf as P
@@ -340,3 +343,29 @@ def test_edges_from_traits_in_one_pass(spark, monkeypatch):
     narrow = C.numbered(E.traits(rows, s, "from", "no"))
     assert "content" not in narrow.columns
     assert key(E.map_relationships(narrow, s)) == want
+
+
+@pytest.mark.parametrize(("kind", "limits"), [("pricing", {}), ("pricing", {"first_min": 12, "first_max": 20}), ("regulation", {}), ("regulation", {"first_min": 3, "first_max": 9}), ("document", {})])
+def test_edges_of_whole_documents(spark, monkeypatch, kind, limits):
+    """Random documents: one pass over each finds the edges that the Column forms find in steps, in every column; also where references meet chunks by an index."""
+    rng = random.Random(5)
+    bits = ["Bảng 1", "BẢNG 2", "bảng\u00a012", "Bảng IV", "Bảng 23-TT", "Bảng: 4", "Table 3: Giá", "Bảng 1: Đơn giá", "phụ thu", "Phụ Thu theo", "cộng thêm", "Điều chỉnh", "ngoài trừ", "NGOÀI TRỪ", "không áp dụng", "tại khoản 3", "Điều 1", "Điều 2", "Khoản 2 Điều 1", "Khoản\u20032", "điểm a", "Nghị định 12/2020", "tính theo", "nếu", "Khi", "với điều kiện", "là", "bao gồm", "x", "Y.", ". ", "; ", "20'", "40' HC", "\x1c", "\u2028", "\r", "\u0301", "²", "İ", "ı", "ſ", "Κ", "Σ", "1", "7", "-", "sửa đổi theo Điều 2", "thực hiện theo Mục 1"]
+    said = lambda n: " ".join(rng.choices(bits, k=rng.randint(0, n)))
+    line = lambda: rng.choice(["", "### ", "# ", "I. ", "1. ", "2. ", "Điều 1 ", "Điều 2 ", "Điều 3\n", "Chương I ", "Mục 1 ", "Khoản 1 ", "### Bảng 1", "### Bảng 12\n", "", "", ""]) + said(4)
+    row = lambda: "| " + " | ".join(said(2).replace("\n", " ") for _ in range(rng.randint(1, 4))) + rng.choice([" |", " |", " |\u2028", "|\t", ""])
+    table_ = lambda: "\n".join([rng.choice(["| TT | 20' | 40' HC | 20' |", "| a | Giá 45'DC |", row()]), rng.choice(["| --- | :-: | --- |", row()]), *(row() for _ in range(rng.randint(0, 4)))])
+    texts = ["\n".join(rng.choice([line, line, line, table_, lambda: ""])() for _ in range(rng.randint(0, 14))) for _ in range(400)] + [None]
+    rules = dataclasses.replace(schema(kind), limits=limits or schema(kind).limits)
+    frame = docs(spark, *texts)
+    steps = C.numbered(E.traits(C.both_levels(C.level_one(frame, rules), rules, E.FIELDS), rules, "from", "no").localCheckpoint())
+    want = sorted(map(str, E.map_relationships(steps, rules).select(*E.EDGE).collect()))
+    assert len(want) > (300 if kind != "document" else 0)
+    assert sorted(map(str, DE.document_edges(frame, rules).collect())) == want
+    monkeypatch.setattr(DE, "MOST_COMPARED", 0)
+    compiled = DE.Rules(rules)
+    got = [(f"doc_{i}", n, c, *e) for i, t in enumerate(texts[:-1]) for n, c, edges in DE.edges_of(f"doc_{i}", t, compiled) for e in edges]
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in DE.document_edges(frame, rules).collect())
+    counts = DE.edge_counts(frame, rules)
+    assert sorted(map(tuple, counts.collect())) == sorted((d, t, n) for (d, t), n in Counter((r[0], r[5]) for r in got).items())
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "transform(" not in plan
